@@ -1,0 +1 @@
+"""Reconciliation of two copies of a table, as Spark jobs."""
