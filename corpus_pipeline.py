@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmend.llm import jaccard, langid, quality
-from rowmend.llm.common import save
+from rowmend.llm.common import save, small
 from rowmend.llm.queries import language_model, packed, quality_target, table
 
 #: No stage but the joins of equal columns could be put in SQL; tests compare small fixtures with brute force.
@@ -34,8 +34,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
     groups = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = save(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import Forest, components, delete_saved, group_starts, save, shingle_sets, whole_groups
+from rowmend.llm.common import Forest, components, delete_saved, group_starts, save, shingle_sets, small, whole_groups
 
-GROUPS = 32
+GROUPS = 256
 BINS, BAND = 63, 3
 CHUNK = 2000
 LEAF = 16
@@ -48,7 +48,7 @@ def set_points(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 f1.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
                 f2.append(int((s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                points.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() if len(s) else b"")
+                points.append(_narrow(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)).tobytes() if len(s) else b"")
                 cells.append(_cells(s))
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(points, pa.binary())],
@@ -58,6 +58,11 @@ def set_points(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them all."""
+    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4")
+
+
 def _cells(s: np.ndarray) -> np.ndarray:
     """Cell keys of a sorted set: smallest hash in each bin (an empty bin takes the next one's), in bands."""
     if not len(s):
@@ -163,9 +168,10 @@ def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
         for table in whole_groups(batches, keys):
             col = {c: table.column(c).to_numpy() for c in ("cell", "i", "j", "band", "kind", "id", "n", "other", "ok")}
             is_point = col["kind"] == 0
-            points = np.zeros((table.num_rows, GROUPS), np.int64)
+            points = np.zeros((table.num_rows, GROUPS), np.int32)
             raw = table.column("point").combine_chunks().filter(pa.array(is_point))
-            points[is_point] = np.frombuffer(b"".join(raw.to_pylist()), "<u4").reshape(-1, GROUPS)
+            for i, p in zip(np.flatnonzero(is_point).tolist(), raw.to_pylist(), strict=True):
+                points[i] = np.frombuffer(p, f"<u{len(p) // GROUPS}")
             cells = np.zeros((table.num_rows, BINS // BAND), np.int64)
             cells[is_point] = table.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, BINS // BAND)
             starts = group_starts(table, keys)
@@ -235,8 +241,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     shared = shared.select("c.cell", "c.band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     member = in_cells.drop("band").join(shared, "cell").select("cell", "band", "chunks", F.col("doc_id").alias("id"))
     member = save(member)
-    involved = member.select(F.col("id").alias("doc_id")).distinct()
-    sets = save(_sets(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
 
     mine = F.pmod(F.xxhash64("cell", "id"), F.col("chunks")).cast("int")
     dealt = member.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -249,6 +253,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     todo, turn = dealt, 0
     while True:
         found = save(_candidates(todo, turn, num, den))
+        if turn == 0:  # a document with any surviving pair is in its cell's spanning forest
+            involved = save(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            sets = save(_sets(texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
         pairs = found.select("a", "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
