@@ -5,28 +5,50 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Texts of these characters alone split into runs of letters and of signs, which the pre-tokenizer never joins.
+_ODD = re.compile(r"[^\x00-\x26\x28-\xff]|<\|")
+_RUNS = re.compile(r"[a-zªµºß-öø-ÿ]+|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ]+")
 
 
 class WordTokenizer:
-    """Encodes texts with a `tokenizers` file whose pre-tokenizer never joins text across white space.
+    """Encodes texts with a lower-casing `tokenizers` file whose pre-tokenizer never joins text across white space.
 
-    Such a text's ids are its words' ids one after another, so each distinct word is encoded once by the library
-    and kept, at most `keep` words at a time.
+    Such a text's ids are its words' ids one after another, so the library encodes each distinct word once, and its ids
+    are kept for at most `keep` words at a time.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.keep = keep
-        self.known: dict[str, list[int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)  # of the ids of word number i, at i + 1
+
+    def _learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            n, used = len(self.number), int(self.ends[len(self.number)])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            total = used + int(sizes.sum())
+            if total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(total, np.uint32)])
+            if n + len(part) + 1 > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros(n + len(part), np.int64)])
+            self.ids[used:total] = [i for f in found for i in f]
+            self.ends[n + 1 : n + 1 + len(part)] = used + np.cumsum(sizes)
+            self.number.update(zip(part, range(n, n + len(part)), strict=True))
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
         """uint32 ids of each text with `end_id` after them; a null is an empty text."""
@@ -36,20 +58,32 @@ class WordTokenizer:
             while stop < len(texts) and (stop == at or size < 1 << 20):
                 size += len(texts[stop] or "")
                 stop += 1
-            split = [self._words(t or "") for t in texts[at:stop]]
-            if len(self.known) > self.keep:
-                self.known.clear()
-            new = list(set(chain.from_iterable(split)).difference(self.known))
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                self.known.update(zip(part, (e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            get = self.known.__getitem__
-            for words in split:
-                yield np.fromiter(chain(chain.from_iterable(map(get, words)), (end_id,)), np.uint32)
+            words: list[str] = []
+            counts = []
+            for t in texts[at:stop]:
+                before = len(words)
+                words += self._words(t or "")
+                counts.append(len(words) - before)
+            if len(self.number) > self.keep:
+                self._clear()
+            new = set(words).difference(self.number)
+            if new:
+                self._learn(list(new))
+            codes = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+            flat = self.ids[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out = np.empty(hi - lo + 1, np.uint32)
+                out[:-1] = flat[lo:hi]
+                out[-1] = end_id
+                yield out
             at = stop
 
     @staticmethod
     def _words(text: str) -> list[str]:
+        if not _ODD.search(text):
+            return _RUNS.findall(text.lower())
         if _SEPARATORS.search(text):
             return [w for w in _ASCII_SPACE.split(text) if w]
         return text.split()
