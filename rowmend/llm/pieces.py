@@ -3,8 +3,8 @@
 The best-scoring sequence of vocabulary pieces is found with a window of the longest piece's length: for each end
 position in the window one back pointer is kept, and as soon as the paths that survive to all live positions run
 through one boundary, the ids up to it are committed and the window moves on. Memory doesn't grow with the text.
-Stretches between certain boundaries (before a space that follows a non-space, as no piece crosses it) are common, so
-each worker keeps a bounded cache of their ids.
+Paths must also meet between two characters that no piece holds side by side; the stretches between such certain
+boundaries are common, so each worker keeps a bounded cache of their ids, and of those of words.
 
 Text is encoded as is: a space in front, spaces as the space mark; characters without a piece, and literal space marks,
 as byte pieces, each byte at a cost below every piece. Decoding gives back the very text. The piece scores come from
@@ -27,7 +27,7 @@ MARK = "▁"
 
 
 class Vocabulary:
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -40,7 +40,9 @@ class Vocabulary:
         self.byte_cost = 10 * min(self.scores.values(), default=-1.0) - 10
         self.longest = max(map(len, self.ids), default=1)
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # characters side by side in a piece
         self.known: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.keep = keep
         # A stretch: space marks and what follows them up to the next space mark.
         self.stretch = re.compile(f"{MARK}*[^{MARK}]*")
@@ -77,6 +79,42 @@ class Vocabulary:
                     yield from self._path(text, base, meet, back, literal_mark)
                     best, back, base = best[meet - base :], back[meet - base :], meet
 
+    def stretches(self, text: str, literal_mark: str) -> tuple[int, ...]:
+        """Ids of a word: Viterbi between its certain boundaries, where those ids aren't known."""
+        out: list[int] = []
+        start, last, inside = 0, len(text) - 1, self.inside
+        for i in range(len(text)):
+            if i < last and text[i : i + 2] in inside:
+                continue
+            part = text[start : i + 1]
+            start = i + 1
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.short(part) if len(part) <= 2 * self.longest and literal_mark not in part else tuple(self.viterbi(part, literal_mark))
+                if len(part) <= 64 and literal_mark not in part:
+                    if len(self.parts) >= self.keep:
+                        self.parts.clear()
+                    self.parts[part] = ids
+            out += ids
+        return tuple(out)
+
+    def short(self, text: str) -> tuple[int, ...]:
+        """The same for a text that fits the window: one pass, then one way back."""
+        n, longest, get, cost = len(text), self.longest, self.scores.get, self.byte_cost
+        best, back = [0.0], [0]
+        for end in range(1, n + 1):
+            value = get(text[end - 1])
+            if value is None:
+                value = cost * len(text[end - 1].encode())
+            top, start = best[end - 1] + value, end - 1
+            for s in range(end - 2, max(0, end - longest) - 1, -1):
+                value = get(text[s:end])
+                if value is not None and (value := value + best[s]) >= top:
+                    top, start = value, s
+            best.append(top)
+            back.append(start)
+        return tuple(self._path(text, 0, n, back, "\0none"))
+
     def _path(self, text: str, base: int, end: int, back: list[int], literal_mark: str) -> list[int]:
         out: list[int] = []
         while end > base:
@@ -107,8 +145,8 @@ class Vocabulary:
         for part in self.stretch.findall(marked):
             ids = known.get(part)
             if ids is None:
-                ids = tuple(self.viterbi(part, literal))
-                if len(part) <= 64 and literal == "\0none":
+                ids = self.stretches(part, literal)
+                if len(part) <= 64 and literal not in part:
                     if len(known) >= self.keep:
                         known.clear()
                     known[part] = ids
