@@ -185,7 +185,7 @@ def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
                 text = text_under(found, paths or [])
                 if not text and found:
                     best = best_path(found)
-                    text = text_under(found, [best[0]]) if best else ""
+                    text = text_under(found, [best[0]]) if best else "\n".join(b[2] for b in found)  # no container at all
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
