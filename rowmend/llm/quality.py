@@ -28,6 +28,7 @@ from rowmend.llm.common import save, text_slices
 SIZES, BUCKETS = (4, 8), 1 << 16
 LENGTH = 400
 FIT_ROWS = 20_000
+PRIOR = 0.03  # weight of the raw model in the target model, as a share of the target's n-grams
 
 
 def _grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -67,10 +68,12 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of the two smoothed models by bucket; 0 where either has seen nothing at all."""
+    """Log ratio of the two models by bucket, the target's smoothed by the raw one; 0 where either has seen nothing at all."""
     if not target.sum() or not raw.sum():
         return np.zeros(2 * BUCKETS)
-    p, q = (target + 0.1) / (target.sum() + 0.2 * BUCKETS), (raw + 0.1) / (raw.sum() + 0.2 * BUCKETS)
+    q = (raw + 0.1) / (raw.sum() + 0.2 * BUCKETS)
+    weight = PRIOR * target.sum()
+    p = (target + weight * q) / (target.sum() + weight)
     return np.log(p) - np.log(q)
 
 
