@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import delete_saved, save
+from rowmend.llm.common import delete_saved, save, small_batches
 from rowmend.llm.tokens import tokenizer
 
 LIMIT = 18
@@ -133,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = save(texts.mapInArrow(encode, "doc_id long, ids binary"))
+    tokens = save(small_batches(texts).mapInArrow(encode, "doc_id long, ids binary"))
     counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row an id of the vocabulary
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
     book_rows = spark.createDataFrame(counts.assign(bits=lengths)[["id", "bits"]].astype("int64"), "id long, bits long") if len(counts) else spark.createDataFrame([], "id long, bits long")

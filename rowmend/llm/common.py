@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rowmend-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, after setting its session's Arrow batches to `rows` rows if they are Spark's default: texts can be long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(rows))
+    return df
+
+
 def save(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to the shared folder as Parquet and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import save
+from rowmend.llm.common import save, small_batches
 
 # Element kinds of HTML and words in class or id that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,7 +190,7 @@ def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    votes = known.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes double")
+    votes = small_batches(known).select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes double")
     tally = votes.where("path is not null").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     ballots = tally.groupBy("host").agg(F.max("votes").alias("most"))
     # One row a host, written so that the join below knows its size: Spark broadcasts it only below its threshold.

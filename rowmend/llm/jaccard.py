@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import Forest, components, delete_saved, group_starts, save, shingle_sets, small, whole_groups
+from rowmend.llm.common import Forest, components, delete_saved, group_starts, save, shingle_sets, small, small_batches, whole_groups
 
 GROUPS = 256
 BINS, BAND = 63, 3
@@ -228,7 +228,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     Rows whose doc_id is null stay alone, with a null component. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    points = save(set_points(texts, words))
+    points = save(set_points(small_batches(texts), words))
     print_of = ["n", "f1", "f2"]
     classes = points.where("n > 0 and doc_id is not null").groupBy(*print_of).agg(F.min("doc_id").alias("rep"))
     classes = save(classes)

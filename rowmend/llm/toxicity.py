@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import delete_saved, save
+from rowmend.llm.common import delete_saved, save, small_batches
 
 FIT_ROWS = 12_000
 # Look-alikes and substitutions.
@@ -177,4 +177,4 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             z = lexicon.intercept + x @ np.array(lexicon.slopes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
