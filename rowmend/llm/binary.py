@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowmend.llm.common import delete_saved, save, small_batches
-from rowmend.llm.tokens import tokenizer
+from rowmend.llm.tokens import narrow, tokenizer, widen
 
 LIMIT = 18
 SEGMENT = 128
@@ -116,14 +116,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [i.astype("<u4").tobytes() for i in tokenizer(tokenizer_path).encode(batch.column(1).to_pylist(), end_id)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            sizes, held = [], []
+            for ids in tokenizer(tokenizer_path).encode(batch.column(1).to_pylist(), end_id):
+                sizes.append(len(ids))
+                held.append(narrow(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "n", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+            for size, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = np.bincount(widen(x.as_buffer(), size))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
@@ -133,8 +136,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = save(small_batches(texts).mapInArrow(encode, "doc_id long, ids binary"))
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row an id of the vocabulary
+    tokens = save(small_batches(texts).mapInArrow(encode, "doc_id long, n long, ids binary"))
+    counts = tokens.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row an id of the vocabulary
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
     book_rows = spark.createDataFrame(counts.assign(bits=lengths)[["id", "bits"]].astype("int64"), "id long, bits long") if len(counts) else spark.createDataFrame([], "id long, bits long")
     book_rows.coalesce(1).write.parquet(f"{path}/codebook")
@@ -151,9 +154,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(row, types, strict=True)], names=["part", "block", "first", "doc_ids", "doc_tokens", "checkpoints", "bits"])
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, n, x in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), strict=True):
                 doc_ids.append(doc_id)
-                held.append(np.frombuffer(x.as_buffer(), "<u4"))
+                held.append(widen(x.as_buffer(), n))
                 size += len(held[-1])
                 if size >= BLOCK:
                     yield block()

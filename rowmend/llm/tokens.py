@@ -89,6 +89,15 @@ class WordTokenizer:
         return text.split()
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """The ids in two bytes each if all fit, else in four; read back with `widen` and their number."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def widen(held, n: int) -> np.ndarray:
+    return np.frombuffer(held, "<u2" if len(held) == 2 * n else "<u4")
+
+
 _made: dict[str, WordTokenizer] = {}
 
 
