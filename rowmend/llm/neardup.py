@@ -2,8 +2,11 @@
 
 A neighbour graph starts from random-hyperplane cells and is refined by joining each vector's neighbours with one
 another: whoever shares a neighbour is compared, and the closest `K` stay on each list. Links are the pairs at or above
-the threshold. Where a list is full of links, it is saturated and may hide more of them; such lists are enlarged to all
-vectors that links lead to, compared block by block, so that link counts are complete within what the graph connects.
+the threshold. Whatever is compared and linked is joined at once, before any list is cut: groups of compared vectors
+give their links as stars of joined vectors, which connect the same. A list full of links is saturated and may hide
+more of them. It is enlarged by the `K` closest vectors outside of the component that its links lead to; one of those
+that turns out to be linked joins the components, and the refinement goes on while a component of more than `K` vectors
+grows this way. Links are counted among all vectors of a component, block by block.
 Recall is audited: a bounded sample of vectors is compared with every vector of its label, and the refinement goes on
 while it finds less than `recall` of the true links.
 
@@ -16,6 +19,7 @@ nothing: n_links 0, component_id their own id, kept. Vectors of different length
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +51,43 @@ def _grouped(df: DataFrame, keys: list[str], fn, schema: str, names: list[str])
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _first_lists(points: DataFrame, turn: int) -> DataFrame:
-    """(u, v, cos): the closest K within cells of random hyperplanes, from TREES sets of them."""
+def _joined(near: np.ndarray) -> np.ndarray:
+    """The first row that links lead to from each row of a symmetric link matrix."""
+    label = np.arange(len(near))
+    sub = np.flatnonzero(near.any(1))
+    near, own = near[np.ix_(sub, sub)], np.arange(len(sub))
+    while len(sub):
+        least = np.minimum(own, np.where(near, own, len(sub)).min(1))
+        least = least[least]
+        if (least == own).all():
+            break
+        own = least
+    label[sub] = sub[own]
+    return label
+
+
+def _near(ids: np.ndarray, x: np.ndarray, component: np.ndarray, n: int, threshold: float) -> list[np.ndarray]:
+    """(u, v, cos) of compared vectors: the n closest of each, the n closest outside of what links join if those are
+    all links, and with a cos of NaN each vector and the first one that links join it with."""
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    n = min(n, len(ids) - 1)
+    label = _joined(s >= threshold - 1e-12)
+    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    cos = np.take_along_axis(s, best, 1)
+    full = np.flatnonzero(cos.min(1) >= threshold - 1e-12)
+    outside = np.where((label[full, None] == label) | (component[full, None] == component), -2, s[full])
+    beyond = np.argpartition(-outside, n - 1, axis=1)[:, :n]
+    far = np.take_along_axis(outside, beyond, 1).ravel()
+    real = far > -2
+    star = np.flatnonzero(label != np.arange(len(ids)))
+    u = np.concatenate([np.repeat(ids, n), np.repeat(ids[full], n)[real], ids[star]])
+    v = np.concatenate([ids[best].ravel(), ids[beyond].ravel()[real], ids[label[star]]])
+    return [u, v, np.concatenate([cos.ravel(), far[real], np.full(len(star), np.nan)])]
+
+
+def _first_lists(points: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """(u, v, cos) of `_near` within cells of random hyperplanes, from TREES sets of them."""
     sizes = points.groupBy("label", "width").agg(F.count("*").alias("n"))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,40 +116,57 @@ def _first_lists(points: DataFrame, turn: int) -> DataFrame:
         if g.num_rows < 2:
             return None
         ids, x = g.column("id").to_numpy(), _unit(g.column("x"), int(g.column("width")[0].as_py()))
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
-        n = min(K, len(ids) - 1)
-        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        return np.repeat(ids, n), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+        return _near(ids, x, ids, K, threshold)
 
     return _grouped(cells, [*keys, "part"], closest, "u long, v long, cos double", ["u", "v", "cos"])
 
 
-def _shortest(pairs: DataFrame) -> DataFrame:
-    """The K closest of each list, once each."""
-    once = pairs.groupBy("u", "v").agg(F.max("cos").alias("cos"))
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("cos").desc(), "v"))).where(F.col("r") <= K).drop("r")
+def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) that links join: nothing is cut here."""
+    return pairs.where(F.isnan("cos") | (F.col("cos") >= threshold - 1e-12)).select("u", "v")
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """The K closest of each list inside and outside of its vector's component."""
+    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("u", "outside").orderBy(F.col("cos").desc(), "v"))).where(F.col("r") <= K).drop("r")
+
+
+def _shortest(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    """(u, v, cos, outside): the K closest of each list inside and outside of its vector's component, once each."""
+    once = pairs.where(~F.isnan("cos")).groupBy("u", "v").agg(F.max("cos").alias("cos"))
+    a, b = (member.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "uv")
+    once = once.join(a, "u", "left").join(b, "v", "left")
+    return _closest(once.select("u", "v", "cos", (F.coalesce("cu", "u") != F.coalesce("cv", "v")).alias("outside")))
 
 
-def _refined(lists: DataFrame, points: DataFrame) -> DataFrame:
+def _refined(lists: DataFrame, points: DataFrame, member: DataFrame, threshold: float) -> DataFrame:
     """Neighbours of neighbours: everyone on or pointing at u's list is compared with one another, at u."""
-    back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.col("cos").desc(), "v"))).where(F.col("r") <= K).drop("r")
+    back = _closest(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "cos", "outside"))
     around = lists.select("u", "v").unionByName(back.select("u", "v")).unionByName(points.select(F.col("id").alias("u"), F.col("id").alias("v"))).distinct()
-    around = around.join(points.select(F.col("id").alias("v"), "width", "x"), "v")
+    around = around.join(points.select(F.col("id").alias("v"), "width", "x"), "v").join(member.withColumnRenamed("id", "v"), "v", "left")
 
     def compare(g: pa.Table):
-        n = g.num_rows
-        if n < 3:
+        if g.num_rows < 3:
             return None
         ids, x = g.column("v").to_numpy(), _unit(g.column("x"), int(g.column("width")[0].as_py()))
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
-        m = min(3, n - 1)
-        best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        return np.repeat(ids, m), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()
+        return _near(ids, x, g.column("component_id").to_numpy(), 3, threshold)
+
+    around = around.select("u", "v", "width", "x", F.coalesce("component_id", "v").alias("component_id"))
+    return _grouped(around, ["u"], compare, "u long, v long, cos double", ["u", "v", "cos"])
+
+
+def _members(edges: DataFrame) -> DataFrame:
+    """(id, component_id) of all ends of `edges` (u, v)."""
+    joined = save(components(edges))
+    return save(joined.unionByName(joined.select(F.col("component_id").alias("id"), "component_id").distinct()))
+
 
-    return _grouped(around.select("u", "v", "width", "x"), ["u"], compare, "u long, v long, cos double", ["u", "v", "cos"])
+def _grew(edges: DataFrame, member: DataFrame) -> bool:
+    """Whether `edges` (u, v) lead out of a component of more than K vectors, whose lists may be saturated."""
+    sized = member.join(member.groupBy("component_id").agg(F.count("*").alias("n")), "component_id")
+    a, b = (sized.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "uv")
+    ends = edges.join(a, "u", "left").join(b, "v", "left")
+    return not ends.where((F.coalesce("cu", "u") != F.coalesce("cv", "v")) & (F.greatest("nu", "nv") > K)).isEmpty()
 
 
 def _counted(points: DataFrame, group: DataFrame, threshold: float) -> DataFrame:
@@ -170,16 +226,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     if points.isEmpty():
         out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return out.withColumn("kept", F.lit(True))
-    lists, turn = save(_shortest(_first_lists(points, 0))), 0
+    found, turn = save(_first_lists(points, 0, threshold)), 0
+    edges = _linked(found, threshold)
+    member = _members(edges)
+    lists = save(_shortest(found, member))
     while True:
+        fresh = []
         for _ in range(turns):
-            lists = save(_shortest(lists.unionByName(_refined(lists, points))))
-        joined = components(lists.where(F.col("cos") >= threshold - 1e-12).select("u", "v"))
-        member = save(joined.unionByName(joined.select(F.col("component_id").alias("id"), "component_id").distinct()))
+            found = save(_refined(lists, points, member, threshold))
+            fresh.append(_linked(found, threshold))
+            lists = save(_shortest(lists.drop("outside").unionByName(found), member))
+        fresh = save(reduce(DataFrame.unionByName, fresh).distinct())
+        grew = _grew(fresh, member)
+        edges = member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(fresh)
+        member = _members(edges)
         turn += 1
-        if audit(points, member, threshold) >= recall or turn >= most:
+        enough = audit(points, member, threshold) >= recall or turn >= most
+        if enough and not grew:
             break
-        lists = save(_shortest(lists.unionByName(_first_lists(points, turn))))
+        pairs = lists.drop("outside")
+        if not enough:
+            found = save(_first_lists(points, turn, threshold))
+            member = _members(member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(_linked(found, threshold)))
+            pairs = pairs.unionByName(found)
+        lists = save(_shortest(pairs, member))
     links = save(_counted(points, member, threshold))
     copy_of = rows.where("sound").join(points.select("label", "x", "id", "copies"), ["label", "x"]).select("vec_id", "id", "copies")
     out = rows.select("vec_id").join(copy_of.dropDuplicates(["vec_id"]), "vec_id", "left").join(member, "id", "left").join(links, "id", "left")

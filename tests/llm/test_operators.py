@@ -258,6 +258,35 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).isEmpty()
 
 
+def brute_near_duplicates(rows, threshold=0.93):
+    """{id: (n_links, component_id, kept)} of (id, vector, label)."""
+    unit = {i: np.array(e, float) / np.linalg.norm(e) for i, e, _ in rows}
+    label = {i: y for i, _, y in rows}
+    links = [(a, b) for a, b in itertools.combinations(unit, 2) if label[a] == label[b] and unit[a] @ unit[b] >= threshold]
+    want = brute_components(list(unit), links)
+    return {i: (sum(i in p for p in links), want[i], want[i] == i) for i in unit}
+
+
+def near_groups(seed=3, width=24, size=14, groups=6):
+    """Tight groups of different near-copies around centres, each pair of groups next to one another joined by weaker links only."""
+    rng = np.random.default_rng(seed)
+    rows, basis = [], np.linalg.qr(rng.normal(size=(width, width)))[0]
+    for g in range(groups):
+        angle = 0.36 * (g % 2)
+        centre = math.cos(angle) * basis[g - g % 2] + math.sin(angle) * basis[g - g % 2 + 1]
+        for _ in range(size):
+            rows.append((len(rows), [float(v) for v in centre + rng.normal(size=width) * 0.006], 0))
+    return rows
+
+
+def test_near_duplicates_saturated_lists(spark):
+    rows = near_groups()
+    want = brute_near_duplicates(rows)
+    assert len({c for _, c, _ in want.values()}) == 3
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) for _ in range(200)]
