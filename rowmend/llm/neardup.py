@@ -7,8 +7,9 @@ give their links as stars of joined vectors, which connect the same. A list full
 more of them. It is enlarged by the `K` closest vectors outside of the component that its links lead to; one of those
 that turns out to be linked joins the components, and the refinement goes on while a component of more than `K` vectors
 grows this way. Links are counted among all vectors of a component, block by block.
-Recall is audited: a bounded sample of vectors is compared with every vector of its label, and the refinement goes on
-while it finds less than `recall` of the true links.
+Recall is audited: sampled vectors are compared with every vector of their label, each of them weighs the same, and the
+sample grows until `LINKED` of them have links (or to `AUDIT_MOST` vectors). The refinement goes on while less than
+`recall` of their links are found; where `most` turns don't reach that, all vectors of a label are compared block by block.
 
 Equal vectors of a label are merged before anything else and counted at the end.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from rowmend.llm.common import components, group_starts, save, whole_groups
 
 K, CELL, TREES, BLOCK, AUDIT = 8, 128, 4, 512, 200
+LINKED, AUDIT_MOST = 50, 20_000
 
 
 def _unit(column, width: int) -> np.ndarray:
@@ -191,9 +193,43 @@ def _counted(points: DataFrame, group: DataFrame, threshold: float) -> DataFrame
     return rows.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _exact(points: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) that connect what links connect, from all pairs of a label, block by block."""
+    sized = points.groupBy("label", "width").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = points.join(sized, ["label", "width"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("label", "width", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "x")
+
+    def compare(g: pa.Table):
+        ids, mine, x = g.column("id").to_numpy(), g.column("mine").to_numpy(), _unit(g.column("x"), int(g.column("width")[0].as_py()))
+        i, j = int(g.column("i")[0].as_py()), int(g.column("j")[0].as_py())
+        near = np.zeros((len(ids), len(ids)), bool)
+        a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        near[np.ix_(a, b)] = x[a] @ x[b].T >= threshold - 1e-12
+        near |= near.T
+        np.fill_diagonal(near, False)
+        label = _joined(near)
+        star = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[star], ids[label[star]]
+
+    return _grouped(dealt, ["label", "width", "i", "j"], compare, "u long, v long", ["u", "v"])
+
+
 def audit(points: DataFrame, member: DataFrame, threshold: float, rows: int = AUDIT) -> float:
-    """Share of the true links of at most `rows` sampled vectors whose ends `member` (id, component_id) joins."""
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(rows).toPandas()
+    """Mean over sampled vectors that have links of the share of them whose ends `member` (id, component_id) joins."""
+    drawn, linked, shares = 0, 0, 0.0
+    while linked < LINKED and drawn < AUDIT_MOST:
+        sample = points.orderBy(F.xxhash64("id"), "id").offset(drawn).limit(rows).toPandas()
+        if sample.empty:
+            break
+        n, share = _found_of(sample, points, member, threshold)
+        drawn, linked, shares = drawn + len(sample), linked + n, shares + share
+        rows = min(4 * rows, 16 * AUDIT)
+    return shares / linked if linked else 1.0
+
+
+def _found_of(sample, points: DataFrame, member: DataFrame, threshold: float) -> tuple[int, float]:
+    """The number of sampled vectors with links, and the sum of the joined shares of them."""
     by: dict[tuple, tuple] = {}
     for key, g in sample.groupby(["label", "width"]):
         x = np.stack(g["x"].to_numpy()).astype(float)
@@ -203,17 +239,20 @@ def audit(points: DataFrame, member: DataFrame, threshold: float, rows: int = AU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, width, ids = (batch.column(c).to_numpy() for c in ("label", "width", "id"))
-            for key, (own, y) in by.items():
+            for key, (all_own, all_y) in by.items():
                 at = np.flatnonzero((label == key[0]) & (width == key[1]))
-                if len(at):
-                    i, j = np.nonzero(y @ _unit(batch.column("x").take(pa.array(at)), key[1]).T >= threshold)
+                x = _unit(batch.column("x").take(pa.array(at)), key[1]) if len(at) else None
+                for lo in range(0, len(all_own) if len(at) else 0, AUDIT):
+                    own, y = all_own[lo : lo + AUDIT], all_y[lo : lo + AUDIT]
+                    i, j = np.nonzero(y @ x.T >= threshold)
                     other = own[i] != ids[at][j]
                     yield pa.RecordBatch.from_arrays([pa.array(own[i][other]), pa.array(ids[at][j][other])], names=["u", "v"])
 
     true = points.select("label", "width", "id", "x").mapInArrow(run, "u long, v long")
     a, b = (member.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}")) for c in "uv")
-    r = true.join(a, "u", "left").join(b, "v", "left").agg(F.count("*").alias("n"), F.count_if(F.coalesce("cu", "u") == F.coalesce("cv", "v")).alias("ok")).first()
-    return r["ok"] / r["n"] if r["n"] else 1.0
+    each = true.join(a, "u", "left").join(b, "v", "left").groupBy("u").agg((F.count_if(F.coalesce("cu", "u") == F.coalesce("cv", "v")) / F.count("*")).alias("share"))
+    r = each.agg(F.count("*").alias("n"), F.sum("share").alias("share")).first()
+    return r["n"], r["share"] or 0.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, turns: int = 2, most: int = 8) -> DataFrame:
@@ -241,9 +280,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         edges = member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(fresh)
         member = _members(edges)
         turn += 1
-        enough = audit(points, member, threshold) >= recall or turn >= most
+        enough = audit(points, member, threshold) >= recall
         if enough and not grew:
             break
+        if not enough and turn >= most:
+            member = _members(_exact(points, threshold))
+            break
         pairs = lists.drop("outside")
         if not enough:
             found = save(_first_lists(points, turn, threshold))

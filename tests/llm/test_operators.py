@@ -287,6 +287,32 @@ def test_near_duplicates_saturated_lists(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
 
 
+def audited(spark, x, joined):
+    points = spark.createDataFrame([(0, x.shape[1], i, 1, [float(v) for v in r]) for i, r in enumerate(x)], "label long, width int, id long, copies long, x array<double>")
+    return neardup.audit(points.repartition(3), spark.createDataFrame(joined, "id long, component_id long"), 0.93)
+
+
+def test_audit_sees_small_groups(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 24))
+    x[:400] = x[0] + rng.normal(size=(400, 24)) * 0.01
+    x[500:] = x[400:500] + 1e-3
+    assert 0.5 < audited(spark, x, [(i, 0) for i in range(400)]) < 0.8  # the pairs 400 to 599 were missed
+    few = rng.normal(size=(1500, 24))
+    few[1499] = few[0] + 1e-3
+    assert audited(spark, few, [(5, 5)]) == 0.0
+
+
+def test_near_duplicates_exact_where_turns_run_out(spark, monkeypatch):
+    rows = near_groups()
+    none = spark.createDataFrame([], "u long, v long, cos double")
+    monkeypatch.setattr(neardup, "_first_lists", lambda *a: none)
+    monkeypatch.setattr(neardup, "_refined", lambda *a: none)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), turns=1, most=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_near_duplicates(rows)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) for _ in range(200)]
