@@ -1,9 +1,9 @@
 """HTML extraction by consensus host paths.
 
 Each page's containers are scored by the text they hold directly in paragraphs and headings, less link text. The best
-container's path, generalised to tags and classes without digits, is a vote of its page; per host the votes are summed
-in Spark, and every page is extracted again from the elements on its host's winning paths. A page without such an
-element falls back to its own best container. Blocks in boilerplate elements (menus, headers, footers, sidebars,
+container is lifted to the nearest article or main around it, or without one to the lowest container around all
+paragraphs and headings that aren't mostly links. Its path, generalised to tags and classes without digits, is a vote of its page; per host the votes are summed
+in Spark, and every page is extracted again from the elements on its host's winning paths and its own path. Blocks in boilerplate elements (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments, and hidden elements) never count.
 
 A header inside an article may hold its title, so `header` counts as boilerplate only outside of article and main.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from rowmend.llm.common import save, small_batches
 
 # Element kinds of HTML and words in class or id that mark boilerplate.
+PROSE = set("p h1 h2 h3 blockquote pre".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math canvas object select xmp noembed noframes".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -141,7 +142,7 @@ def best_path(found: list) -> tuple[str, float] | None:
     """The container with the highest score: text of its own blocks, a share of nested blocks', less link text."""
     scores: dict[tuple[str, ...], float] = {}
     for path, tag, text, linked in found:
-        worth = (len(text) - 2 * linked) * (1.5 if tag in ("p", "h1", "h2", "h3", "blockquote", "pre") else 1.0)
+        worth = (len(text) - 2 * linked) * (1.5 if tag in PROSE else 1.0)
         holder = path[:-1] if tag not in ("body", "div", "article", "section", "main", "td") else path
         for depth, share in ((len(holder), 1.0), (len(holder) - 1, 0.5)):
             if depth > 0:
@@ -151,12 +152,21 @@ def best_path(found: list) -> tuple[str, float] | None:
     if not scores:
         return None
     key = max(scores, key=lambda k: (scores[k], -len(k), k))
-    return " ".join(key), scores[key]
+    return " ".join(_lifted(found, key)), scores[key]
+
+
+def _lifted(found: list, key: tuple[str, ...]) -> tuple[str, ...]:
+    """The nearest article or main around `key`, or else the lowest container around all prose without many links."""
+    whole = next((key[:depth] for depth in range(len(key), 0, -1) if key[depth - 1].split(".")[0] in ("article", "main")), None)
+    prose = [path for path, tag, text, linked in found if tag in PROSE and 2 * linked < len(text)]
+    if whole:
+        return whole if any(path[: len(whole)] == whole and path[: len(key)] != key for path in prose) else key
+    return next((key[:depth] for depth in range(len(key), 0, -1) if all(path[:depth] == key[:depth] for path in prose)), key)
 
 
 def text_under(found: list, paths: list[str]) -> str:
-    wanted = [tuple(p.split(" ")) for p in paths]
-    return "\n".join(text for path, _, text, _ in found if any(path[: len(w)] == w for w in wanted))
+    wanted = {tuple(p.split(" ")) for p in paths}
+    return "\n".join(text for path, _, text, _ in found if any(path[:depth] in wanted for depth in range(1, len(path) + 1)))
 
 
 def host(url):
@@ -182,11 +192,9 @@ def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
             texts = []
             for h, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = blocks(h) if h else []
-                text = text_under(found, paths or [])
-                if not text and found:
-                    best = best_path(found)
-                    text = text_under(found, [best[0]]) if best else "\n".join(b[2] for b in found)  # no container at all
-                texts.append(text)
+                best = best_path(found)
+                text = text_under(found, [*(paths or []), *(best[:1] if best else [])])
+                texts.append(text or "\n".join(b[2] for b in found))  # no container at all
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

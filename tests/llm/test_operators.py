@@ -223,6 +223,19 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_html_whole_article(spark):
+    body = "<p>" + "Long body text. " * 60 + "</p>"
+    lead = "<html><body><div class='links'><a href='/'>Other pages of the site</a></div><article><h1>Title</h1><div class='lead'><p>Lead.</p></div><div class='body'>" + body + "</div></article></body></html>"
+    plain = "<html><body><div class='wrap'><div class='top'><h1>Title</h1></div><div><div class='lead'><p>Lead.</p></div><div class='body'>" + body + "</div></div></div></body></html>"
+    rare = "<html><body><div class='post'><p>Teaser.</p></div><table><tr><td class='story'><p>" + "Whole story. " * 30 + "</p></td></tr></table></body></html>"
+    usual = "<html><body><div class='post'>" + body * 3 + "</div></body></html>"
+    rows = [(0, "http://a.example/0", lead), (1, "http://b.example/1", plain), (2, "http://c.example/2", rare)] + [(3 + i, f"http://c.example/{i}x", usual) for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    long = ("Long body text. " * 60).strip()
+    assert got[0] == f"Title\nLead.\n{long}" and got[1] == f"Title\nLead.\n{long}"
+    assert got[2] == "Teaser.\n" + ("Whole story. " * 30).strip() and got[3] == "\n".join([long] * 3)
+
+
 def vectors(spark, n=300, width=8, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, width))
