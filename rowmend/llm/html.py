@@ -7,6 +7,9 @@ in Spark, and every page is extracted again from the elements on its host's winn
 notices, adverts, forms, reader comments, and hidden elements) never count.
 
 A header inside an article may hold its title, so `header` counts as boilerplate only outside of article and main.
+Words in class, id or role don't bar an element that holds main or h1 or, on a page without an article or main outside of
+such elements, an article or most of the paragraphs; layout words (with-sidebar, no-header) bar nothing. A page whose
+blocks are all barred by words is read without them.
 
 Inputs: null and empty html give an empty text; a null or odd url is its own host; markup is never required to be
 well-formed. Extra columns pass through unless their name clashes with an output's.
@@ -39,22 +42,24 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACES = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_LAYOUT = re.compile(r"(?<![a-z])(?:with|no|has)[-_]+[a-z_-]+")
 
 
 class Block:
-    """A block's text with the generalised paths of the elements around it."""
+    """A block's text with the generalised paths of the elements around it, and those of them that words may bar."""
 
-    __slots__ = ("parts", "path", "tag", "linked")
+    __slots__ = ("parts", "path", "tag", "linked", "doubts")
 
-    def __init__(self, path: tuple[str, ...], tag: str):
+    def __init__(self, path: tuple[str, ...], tag: str, doubts: tuple[int, ...]):
         self.parts: list[str] = []
-        self.path, self.tag, self.linked = path, tag, 0
+        self.path, self.tag, self.linked, self.doubts = path, tag, 0, doubts
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
     """(path, tag, text, linked characters) of all blocks outside of boilerplate, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # (tag, generalised step, barred)
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # (tag, generalised step, barred, elements that words may bar)
+    doubtful, spared, wraps, plain = 0, set(), set(), False
     now: Block | None = None
     at, raw_until, links = 0, None, 0
 
@@ -65,7 +70,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
         if now is None:
             if not s.strip():
                 return
-            now = Block(tuple(step for tag, step, _ in stack if tag in BLOCK), next((t for t, _, _ in reversed(stack) if t in BLOCK), ""))
+            now = Block(tuple(step for tag, step, *_ in stack if tag in BLOCK), next((t for t, *_ in reversed(stack) if t in BLOCK), ""), stack[-1][3] if stack else ())
             out.append(now)
         now.parts.append(s)
         if links:
@@ -91,9 +96,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
         if token[1] == "/":
             if tag == "br":
                 text(" ")
-            elif any(t == tag for t, _, _ in stack):
+            elif any(t == tag for t, *_ in stack):
                 while stack:
-                    t, _, _ = stack.pop()
+                    t, *_ = stack.pop()
                     links -= t == "a"
                     if t == tag:
                         break
@@ -105,9 +110,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
             continue
         if tag in BLOCK:
             end_block()
-            if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
+            if tag in CLOSES_P and any(t == "p" for t, *_ in stack):
                 while stack:
-                    t, _, _ = stack.pop()
+                    t, *_ = stack.pop()
                     links -= t == "a"
                     if t == "p":
                         break
@@ -122,20 +127,34 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
             continue
         named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(token[len(tag) + 1 : -1])}
         classes = _SPACES.sub(" ", re.sub(r"\d+", "", named.get("class", ""))).strip().lower()
-        words = set(_WORD.findall(f"{classes} {named.get('id', '')} {named.get('role', '')}".lower()))
-        inside = any(t in ("article", "main") for t, _, _ in stack)
+        words = set(_WORD.findall(_LAYOUT.sub(" ", f"{classes} {named.get('id', '')} {named.get('role', '')}".lower())))
+        inside = any(t in ("article", "main") for t, *_ in stack)
         barred = bool(stack and stack[-1][2]) or tag in BARRED or tag == "header" and not inside or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-        barred = barred or tag not in ("html", "body", "main", "article", "h1") and bool(words & BAR_WORDS)
+        doubts = stack[-1][3] if stack else ()
+        if tag not in ("html", "body", "main", "article", "h1") and words & BAR_WORDS:
+            doubts, doubtful = (*doubts, doubtful), doubtful + 1
+        if not barred and tag in ("main", "h1"):
+            spared.update(doubts)
+        if not barred and (tag == "main" or tag == "article" and not words & BAR_WORDS):
+            wraps.update(doubts)
+            plain |= not doubts
         links += tag == "a"
-        stack.append((tag, f"{tag}.{classes.replace(' ', '.')}" if classes else tag, barred))
+        stack.append((tag, f"{tag}.{classes.replace(' ', '.')}" if classes else tag, barred, doubts))
     if at < len(html):
         rest = html[at:]
         cut = rest.find("<")
         if cut >= 0 and re.match(r"</?[a-zA-Z!?]", rest[cut:]):
             rest = rest[:cut]
         text(unescape(rest))
-    done = ((b.path, b.tag, _SPACES.sub(" ", "".join(b.parts)).strip(), b.linked) for b in out)
-    return [d for d in done if d[2]]
+    done = [(b.doubts, (b.path, b.tag, t, b.linked)) for b in out if (t := _SPACES.sub(" ", "".join(b.parts)).strip())]
+    if doubtful and not plain:
+        held = dict.fromkeys(range(doubtful), 0)
+        for doubts, (_, tag, t, _) in done:
+            for d in doubts if tag == "p" else ():
+                held[d] += len(t)
+        most = sum(len(t) for _, (_, tag, t, _) in done if tag == "p") / 2
+        spared |= wraps | {d for d, n in held.items() if n > most}
+    return [b for doubts, b in done if spared.issuperset(doubts)] or [b for _, b in done]
 
 
 def best_path(found: list) -> tuple[str, float] | None:

@@ -236,6 +236,20 @@ def test_html_whole_article(spark):
     assert got[2] == "Teaser.\n" + ("Whole story. " * 30).strip() and got[3] == "\n".join([long] * 3)
 
 
+def test_html_words_bar_no_article():
+    def read(body):
+        return [b[2] for b in html.blocks(f"<html><body>{body}</body></html>")]
+
+    story, menu = "<p>Story.</p><p>More of the story.</p>", "<div class='sidebar'><p>Side.</p></div>"
+    for name in ("class='content with-sidebar'", "class='layout no-sidebar'", "id='search-results'", "class='legal'"):
+        assert read(f"<div {name}>{story}</div>{menu}") == ["Story.", "More of the story."], name
+    assert read(f"<div class='widget'><article>{story}</article></div>{menu}") == ["Story.", "More of the story."]
+    assert read(f"<article><div class='entry-header'><h1>Title</h1></div>{story}</article>{menu}") == ["Title", "Story.", "More of the story."]
+    assert read("<div class='notice'>Only words.</div>") == ["Only words."]
+    comments = "<div class='comments'><article class='comment'><p>" + "A long comment. " * 20 + "</p></article></div>"
+    assert read(f"<article>{story}</article>{comments}") == ["Story.", "More of the story."]
+
+
 def vectors(spark, n=300, width=8, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, width))
