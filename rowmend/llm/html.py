@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import save, small_batches
+from rowmend.llm.common import save, small, small_batches
 
 # Element kinds of HTML and words in class or id that mark boilerplate.
 PROSE = set("p h1 h2 h3 blockquote pre".split())
@@ -36,6 +37,7 @@ BARRED = set("nav aside footer form button menu dialog label fieldset head".spli
 CLOSES_P = BLOCK - set("html body".split())
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 BAR_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent notice notices notification popup modal overlay newsletter subscribe signup login search comment comments respond replies disqus pagination pager skip copyright legal toolbar".split())
+SALT = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -188,6 +190,15 @@ def text_under(found: list, paths: list[str]) -> str:
     return "\n".join(text for path, _, text, _ in found if any(path[:depth] in wanted for depth in range(1, len(path) + 1)))
 
 
+def _around(found: list) -> dict[str, None]:
+    """All paths around a page's blocks."""
+    return dict.fromkeys(" ".join(path[:depth]) for path in {b[0] for b in found} for depth in range(1, len(path) + 1))
+
+
+def _hash(path: str) -> int:
+    return int.from_bytes(blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def host(url):
     """Host of an url column; the url itself where it has none."""
     name = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -199,28 +210,37 @@ def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, votes = [], []
-            for h in batch.column(1).to_pylist():
-                best = best_path(blocks(h)) if h else None
-                paths.append(best[0] if best else None)
+            own, votes, paths = [], [], []
+            for h in batch.column(3).to_pylist():
+                found = blocks(h) if h else []
+                best = best_path(found)
+                own.append(_hash(best[0]) if best else None)
                 votes.append(min(best[1], 10_000.0) if best else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(votes, pa.float64())], names=["host", "path", "votes"])
+                paths.append([_hash(p) for p in _around(found)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.int64()), pa.array(votes, pa.float64()), pa.array(paths, pa.list_(pa.int64()))], names=["k1", "k2", "host", "own", "votes", "paths"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for h, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for h, won in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = blocks(h) if h else []
                 best = best_path(found)
-                text = text_under(found, [*(paths or []), *(best[:1] if best else [])])
+                won = set(won or ())
+                text = text_under(found, [*(p for p in (_around(found) if won else ()) if _hash(p) in won), *(best[:1] if best else [])])
                 texts.append(text or "\n".join(b[2] for b in found))  # no container at all
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    votes = small_batches(known).select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, votes double")
-    tally = votes.where("path is not null").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    # Equal rows have equal keys and equal texts.
+    known = known.withColumn("k1", F.xxhash64("page_id", "url", "html")).withColumn("k2", F.xxhash64(F.lit(7), "page_id", "url", "html"))
+    votes = small_batches(known).select("k1", "k2", host(F.col("url")).alias("host"), "html").mapInArrow(vote, "k1 long, k2 long, host string, own long, votes double, paths array<long>")
+    votes = save(votes)
+    tally = votes.where("own is not null").groupBy("host", F.col("own").alias("path")).agg(F.sum("votes").alias("votes"))
     ballots = tally.groupBy("host").agg(F.max("votes").alias("most"))
-    # One row a host, written so that the join below knows its size: Spark broadcasts it only below its threshold.
-    winners = tally.join(ballots, "host").where(F.col("votes") >= share * F.col("most")).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    winners = save(winners)
-    return known.withColumn("host", host(F.col("url"))).join(winners, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(take, "page_id long, url string, text string")
+    winners = save(tally.join(ballots, "host").where(F.col("votes") >= share * F.col("most")).select("host", "path"))
+    # Each page's own paths meet the winning ones by host and path, the pages of a hot host in SALT parts.
+    salted = small(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    mine = votes.withColumn("salt", F.pmod("k1", F.lit(SALT)).cast("int")).select("k1", "k2", "host", "salt", "own", F.explode("paths").alias("path")).where("own is null or path <> own")
+    won = save(mine.join(salted, ["host", "path", "salt"]).groupBy("k1", "k2").agg(F.collect_set("path").alias("won")))
+    out = known.join(small(won, 100_000), ["k1", "k2"], "left")
+    return out.select("page_id", "url", "html", "won").mapInArrow(take, "page_id long, url string, text string")

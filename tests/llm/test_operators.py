@@ -250,6 +250,19 @@ def test_html_words_bar_no_article():
     assert read(f"<article>{story}</article>{comments}") == ["Story.", "More of the story."]
 
 
+def test_html_paths_stay_with_their_page(spark, monkeypatch):
+    rows = [(i, "http://h.example/", f"<body><div class='post tag-{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8]}'><p>Text {i}.</p></div></body>") for i in range(64)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def text_under(found, paths, inner=html.text_under):
+        seen.add(len(paths))
+        return inner(found, paths)
+
+    monkeypatch.setattr(html, "text_under", text_under)
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}." for i in range(64)} and 64 <= seen.value <= 2 * 64
+
+
 def vectors(spark, n=300, width=8, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, width))
