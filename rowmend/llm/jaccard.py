@@ -11,7 +11,7 @@ cell with probability (1 - 0.85**3)**21 < 3e-9, more similar ones with less. Eac
 with itself; the surviving pairs are checked exactly on the whole sets.
 
 Equal sets are merged before anything else, so copies cost one point. Inside a cell only a spanning forest of the
-surviving pairs goes to the exact check; where a pair fails, its cell goes round again for further pairs until every
+surviving pairs goes to the exact check; where a pair fails or pairs are left, its cell goes round again until every
 surviving pair is either checked or already joined by checked links, so no link between components is lost. Cells
 beyond `CHUNK` points are dealt as pairs of chunks.
 
@@ -34,6 +34,7 @@ GROUPS = 256
 BINS, BAND = 63, 3
 CHUNK = 2000
 LEAF = 16
+CUT = 2
 
 
 def set_points(docs: DataFrame, words: int) -> DataFrame:
@@ -113,15 +114,15 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a, size_b, num: int, den: int) -
     return (num + den) * np.minimum(a, b).sum(-1) >= num * (size_a + size_b)
 
 
-def cell_pairs(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, cells: np.ndarray, band: int, known: list[tuple[int, int, bool]], turn: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of one cell to check next.
+def cell_pairs(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, cells: np.ndarray, band: int, known: list[tuple[int, int, bool]], turn: int, num: int, den: int, cut_off: float = CUT) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one cell to check next, and whether there are more of them.
 
     First turn: a spanning forest of the surviving pairs, in tree order. Later turns: surviving pairs without a
-    verdict whose ends no checked links join yet, at most 2 * 4**turn for each point; the rest come in the next turn.
+    verdict whose ends no checked links join yet, at most cut_off * 4**turn for each point; the rest come in the next turn.
     A pair that shares several cells belongs to the one of the lowest band alone.
     """
     if len(ids) < 2:
-        return []
+        return [], False
     tree, n = Tree(points, sizes), len(ids)
     cells = cells[tree.order]
     place = {int(x): i for i, x in enumerate(ids[tree.order])}
@@ -135,7 +136,7 @@ def cell_pairs(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, cells: np
     blocks = blocks[np.lexsort((blocks[:, 0], blocks[:, 1] - blocks[:, 0]))]
     cut = np.arange(0, n, LEAF)
     found: list[tuple[int, int]] = []
-    most = 2 * 4**turn * n
+    most = max(1, int(cut_off * 4**turn * n))
     for same_offset in np.split(blocks, np.flatnonzero(np.diff(blocks[:, 1] - blocks[:, 0])) + 1):
         root = linked.roots()
         low, high = np.minimum.reduceat(root, cut), np.maximum.reduceat(root, cut)
@@ -150,10 +151,10 @@ def cell_pairs(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, cells: np
             for i, j in zip((i + p * LEAF).tolist(), (j + q * LEAF).tolist(), strict=True):
                 if turn or linked.union(i, j):
                     found.append((i, j))
-        if turn and len(found) >= most:
+        if turn and len(found) > most:
             break
     own = ids[tree.order]
-    return [(int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j in found[: most if turn else None]]
+    return [(int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j in found[: most if turn else None]], bool(turn) and len(found) > most
 
 
 def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,8 +162,8 @@ def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """rows: (cell, i, j, band, kind, id, n, point, cells, other, ok), kind 0 points and kind 1 known verdicts -> (cell, i, j, a, b)."""
-    keys = ["cell", "i", "j"]
+    """rows: (cell, i, j, band, kind, id, n, point, cells, other, ok), kind 0 points and kind 1 known verdicts -> (cell, i, j, a, b), and a row with null a and b where the cell has more."""
+    keys, cut_off = ["cell", "i", "j"], CUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
@@ -176,7 +177,7 @@ def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
             cells[is_point] = table.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, BINS // BAND)
             starts = group_starts(table, keys)
             ends = np.append(starts[1:], table.num_rows)
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int | None, int | None]] = []
             twos = starts[(ends - starts == 2) & is_point[starts] & is_point[np.minimum(starts + 1, table.num_rows - 1)]]
             twos = twos[first_band(cells[twos], cells[twos + 1]) == col["band"][twos]]
             good = twos[may_link(points[twos], points[twos + 1], col["n"][twos], col["n"][twos + 1], num, den)]
@@ -185,7 +186,8 @@ def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
                 p = np.arange(s, e)[is_point[s:e]]
                 k = np.arange(s, e)[~is_point[s:e]]
                 known = list(zip(col["id"][k].tolist(), col["other"][k].tolist(), col["ok"][k].tolist(), strict=True))
-                out += [(s, a, b) for a, b in cell_pairs(col["id"][p], points[p], col["n"][p], cells[p], int(col["band"][s]), known, turn, num, den)]
+                now, more = cell_pairs(col["id"][p], points[p], col["n"][p], cells[p], int(col["band"][s]), known, turn, num, den, cut_off)
+                out += [(s, a, b) for a, b in now] + [(s, None, None)] * more
             s = np.array([o[0] for o in out], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(col["cell"][s]), pa.array(col["i"][s]), pa.array(col["j"][s]), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
@@ -252,7 +254,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     asked: DataFrame | None = None
     todo, turn = dealt, 0
     while True:
-        found = save(_candidates(todo, turn, num, den))
+        answers = save(_candidates(todo, turn, num, den))
+        found, more = answers.where("a is not null"), answers.where("a is null").select("cell", "i", "j")
         if turn == 0:  # a document with any surviving pair is in its cell's spanning forest
             involved = save(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
             sets = save(_sets(texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
@@ -263,8 +266,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         checked = fresh if checked is None else checked.unionByName(fresh)
         asked = found if asked is None else asked.unionByName(found)
         verdicts = save(asked.join(checked, ["a", "b"]).select("cell", "i", "j", "a", "b", "ok"))
-        again = found.join(checked.where("not ok"), ["a", "b"], "left_semi").select("cell", "i", "j").distinct()
-        again = save(again)
+        again = found.join(checked.where("not ok"), ["a", "b"], "left_semi").select("cell", "i", "j")
+        again = save(again.unionByName(more).distinct())
         if again.isEmpty():
             break
         known = verdicts.select("cell", "i", "j", F.lit(0).alias("band"), F.lit(1).alias("kind"), F.col("a").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), F.lit(None).cast("array<long>").alias("cells"), F.col("b").alias("other"), "ok")

@@ -70,6 +70,42 @@ def test_jaccard(spark):
     assert jaccard.jaccard_components(df.limit(0)).isEmpty()
 
 
+def test_jaccard_comes_back_for_pairs_cut_off(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{x}" for x in rng.integers(0, 10**6, 3000)], []
+    for _ in range(8):
+        group = list(base)
+        for k in rng.integers(0, 3000, 60):
+            group[k] = f"g{rng.integers(0, 10**9)}"
+        for _ in range(5):
+            w = list(group)
+            for k in rng.integers(0, 3000, 12):
+                w[k] = f"v{rng.integers(0, 10**9)}"
+            texts.append(" ".join(w))
+    order = rng.permutation(len(texts)).tolist()
+    texts = [texts[k] for k in order]
+    monkeypatch.setattr(jaccard, "CUT", 1e-3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(4)))) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85]
+    assert got == brute_components(list(range(len(texts))), links) and len(set(got.values())) == 8
+
+
+def test_cell_goes_on_after_a_passed_cut():
+    ids, group = np.arange(60), np.repeat([0, 1, 2], [1, 19, 40])
+    points, cells = np.full((60, jaccard.GROUPS), 2), np.zeros((60, 21), np.int64)
+    known, passed = [], []
+    for turn in range(20):
+        pairs, more = jaccard.cell_pairs(ids, points, points.sum(1), cells, 0, known, turn, 85, 100, 0.001)
+        fresh = [(a, b, bool(group[a] == group[b])) for a, b in pairs]
+        known += fresh
+        ends = brute_components(range(60), [(a, b) for a, b, ok in known if ok])
+        passed += [len(set(ends.values()))] if turn and more and all(ok for *_, ok in fresh) else []
+        if not more and all(ok for *_, ok in fresh):
+            break
+    assert len(set(ends.values())) == 3 and passed[0] > 3  # a cut list passed entirely while links were left
+
+
 def test_rtree_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     points = rng.integers(0, 3, (300, jaccard.GROUPS))
