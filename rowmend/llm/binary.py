@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, held = [], []
-            for ids in tokenizer(tokenizer_path).encode(batch.column(1).to_pylist(), end_id):
+            for ids in tokenizer(tokenizer_path).encode(batch.column(1), end_id):
                 sizes.append(len(ids))
                 held.append(narrow(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "n", "ids"])

@@ -82,8 +82,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, task, emitted = Packer(size, windows), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(tokenizer_path).encode(texts, end_id), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(tokenizer_path).encode(batch.column(1), end_id), strict=True):
                 packer.add(doc_id, ids)
                 if len(packer.done) >= 256:
                     yield _batch(packer.done, (task << 33) + emitted)

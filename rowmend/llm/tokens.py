@@ -4,19 +4,71 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-#: Texts of these characters alone split into runs of letters and of signs, which the pre-tokenizer never joins.
-_ODD = re.compile(r"[^\x00-\x26\x28-\xff]|<\|")
-_RUNS = re.compile(r"[a-zªµºß-öø-ÿ]+|[^ \t-\r\x85\xa0a-zªµºß-öø-ÿ]+")
+from rowmend.llm.common import text_slices
+
+#: Bytes of text whose distinct words are looked up together; a longer text is taken alone and whole.
+SLICE = 1 << 22
+#: Words of one pre-token each, whatever stands beside them.
+_LETTERS = re.compile("[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[list(b".,;:!?")] = True
+
+
+class Kept:
+    """Ids of words, side by side in one array, for at most `keep` words (and 16 ids a word) at a time."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int32)  # of the ids of word number i, at i + 1
+
+    def hold(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.number), int(self.ends[len(self.number)])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+        if n + len(words) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(words), np.int32)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def ids_of(self, words: pa.DictionaryArray, learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and where each word's ids end. `learn` holds the words it is given."""
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.number) > self.keep or self.ends[len(self.number)] > 16 * self.keep:
+            self._clear()
+        known = self.number.get
+        number = np.fromiter((known(w, -1) for w in distinct), np.int32, len(distinct))
+        if len(new := np.flatnonzero(number < 0)):
+            missing = [distinct[i] for i in new.tolist()]
+            learn(missing)
+            number[new] = np.fromiter(map(self.number.__getitem__, missing), np.int32, len(new))
+        codes = number[words.indices.to_numpy()]
+        # Words come from slices below 2 GiB, and no id takes less than a byte, so 32 bits hold all places.
+        starts = self.ends[codes]
+        sizes = self.ends[codes + 1] - starts
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(starts - ends + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], ends
 
 
 class WordTokenizer:
-    """Encodes texts with a lower-casing `tokenizers` file whose pre-tokenizer never joins text across white space.
+    """Encodes texts with a lower-casing `tokenizers` file whose pre-tokenizer never joins text across white space, nor
+    a letter with a sign after it, and whose pre-tokens end with pieces in "</w>".
 
     Such a text's ids are its words' ids one after another, so the library encodes each distinct word once, and its ids
     are kept for at most `keep` words at a time.
@@ -27,66 +79,62 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.keep = keep
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)  # of the ids of word number i, at i + 1
+        pieces = self.library.get_vocab()
+        self.closes = np.zeros(max(pieces.values(), default=0) + 1, bool)
+        self.closes[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+        self.kept = Kept(keep)
 
     def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            n, used = len(self.number), int(self.ends[len(self.number)])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total = used + int(sizes.sum())
-            if total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(total, np.uint32)])
-            if n + len(part) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros(n + len(part), np.int64)])
-            self.ids[used:total] = [i for f in found for i in f]
-            self.ends[n + 1 : n + 1 + len(part)] = used + np.cumsum(sizes)
-            self.number.update(zip(part, range(n, n + len(part)), strict=True))
-
-    def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
+        """Words of one pre-token go to the library side by side: each ends where a piece in "</w>" does."""
+        plain: list[str] = []
+        single: list[str] = []
+        for w in words:
+            (plain if _LETTERS.fullmatch(w) else single).append(w)
+        lines = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for line, e in zip(lines, self._encoded([" ".join(line) for line in lines]), strict=True):
+            ends = np.flatnonzero(self.closes[e]) + 1
+            if len(ends) == len(line) and ends[-1] == len(e):
+                self.kept.hold(line, e, np.diff(ends, prepend=0))
+            else:
+                single += line
+        found = self._encoded(single)
+        if found:
+            self.kept.hold(single, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for k in range(0, len(texts), 5000) for e in self.library.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """uint32 ids of each text with `end_id` after them; a null is an empty text."""
-        at = 0
-        while at < len(texts):
-            size, stop = 0, at
-            while stop < len(texts) and (stop == at or size < 1 << 20):
-                size += len(texts[stop] or "")
-                stop += 1
-            words: list[str] = []
-            counts = []
-            for t in texts[at:stop]:
-                before = len(words)
-                words += self._words(t or "")
-                counts.append(len(words) - before)
-            if len(self.number) > self.keep:
-                self._clear()
-            new = set(words).difference(self.number)
-            if new:
-                self._learn(list(new))
-            codes = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-            flat = self.ids[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
+        for _, _, data, offsets in text_slices(texts, SLICE):
+            parts = pc.ascii_split_whitespace(_spaced(data, offsets))
+            flat, ends = self.kept.ids_of(parts.flatten().dictionary_encode(), self._learn)
+            counts = pc.list_value_length(parts).to_numpy()
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 out = np.empty(hi - lo + 1, np.uint32)
                 out[:-1] = flat[lo:hi]
                 out[-1] = end_id
                 yield out
-            at = stop
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if not _ODD.search(text):
-            return _RUNS.findall(text.lower())
-        if _SEPARATORS.search(text):
-            return [w for w in _ASCII_SPACE.split(text) if w]
-        return text.split()
+
+
+def _spaced(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts with A-Z in lower case and a space between a letter and a sign after it, which leaves their ids alone.
+
+    Texts with characters past U+00FF keep their case (marks may compose with one case only), and those with "<|" too
+    (the library looks for special tokens before it lowers).
+    """
+    low = _LOWER[data]
+    odd = data >= 0xC4
+    odd[1:] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    for row in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1).tolist():
+        low[offsets[row] : offsets[row + 1]] = data[offsets[row] : offsets[row + 1]]
+    after = _LETTER[low[:-1]]
+    after[1:] |= (low[:-2] == 0xC3) & (low[1:-1] != 0x97) & (low[1:-1] != 0xB7)  # U+00C0 to U+00FF but the two signs
+    at = np.flatnonzero(after & _SIGN[low[1:]]) + 1
+    low = np.insert(low, at, 32)
+    offsets = offsets + np.searchsorted(at, offsets)
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(low))
 
 
 def narrow(ids: np.ndarray) -> bytes:
