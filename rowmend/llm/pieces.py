@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best-scoring sequence of vocabulary pieces is found with a window of the longest piece's length: for each end
-position in the window one back pointer is kept, and as soon as the paths that survive to all live positions run
-through one boundary, the ids up to it are committed and the window moves on. Memory doesn't grow with the text.
-Paths must also meet between two characters that no piece holds side by side; the stretches between such certain
-boundaries are common, so each worker keeps a bounded cache of their ids, and of those of words.
+The best-scoring sequence of vocabulary pieces is found in a window of a few times the longest piece's length: each end
+position in it has the best score and one back pointer. Later pieces can only start from the last `longest` positions;
+as soon as the paths back from all of these run through one boundary, the ids up to it are committed and the window
+starts anew from there. Only where they don't meet the window is doubled, so memory doesn't grow with the text.
+
+Many streams run side by side, one in each lane of an array. All paths also meet where no piece holds the characters on
+both sides, that is before a run of space marks (unless the vocabulary has a piece that goes on after such a run; then a
+text is one stretch). Such stretches recur, so each worker looks them up among those it has committed and keeps, and
+streams the others.
 
 Text is encoded as is: a space in front, spaces as the space mark; characters without a piece, and literal space marks,
 as byte pieces, each byte at a cost below every piece. Decoding gives back the very text. The piece scores come from
 the model file; a BPE file's scores are merge ranks, for which this is the best-scoring segmentation, not the merge order's.
+Of equal scores, the one with the longer last piece wins.
 
-Inputs: null and empty text give no ids and decode to an empty text.
+Inputs: null and empty text give no ids and decode to an empty text. Repeated rows give equal rows; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import small_batches
+from rowmend.llm.common import small_batches, text_slices
+from rowmend.llm.tokens import SLICE, Kept
 
 MARK = "▁"
+LITERAL = "\udfff"  # stands for a mark of the text itself; no text holds it, and it takes three bytes as the mark does
+CODES = 0x110000
+CELLS = 1 << 17  # positions in the windows of one array
 
 
 class Vocabulary:
@@ -35,132 +44,170 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         plain = [i for i in range(len(self.pieces)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.byte_cost = 10 * min(self.scores.values(), default=-1.0) - 10
-        self.longest = max(map(len, self.ids), default=1)
-        self.crosses = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # characters side by side in a piece
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.keep = keep
-        # A stretch: space marks and what follows them up to the next space mark.
-        self.stretch = re.compile(f"{MARK}*[^{MARK}]*")
-
-    def viterbi(self, text: str, literal_mark: str = "") -> Iterator[int]:
-        """Ids of marked text, streamed; commits where all surviving paths share a boundary."""
-        base, best, back = 0, [0.0], [0]  # of end positions from `base`; back: start of the last piece
-        n = len(text)
-        for end in range(1, n + 1):
-            low = max(base, end - self.longest)
-            top, start = None, end - 1
-            for s in range(low, end):
-                piece = text[s:end]
-                value = self.scores.get(piece)
-                if value is None:
-                    if s < end - 1:
-                        continue
-                    value = self.byte_cost * len(piece.replace(literal_mark, MARK).encode())
-                value += best[s - base]
-                if top is None or value > top:
-                    top, start = value, s
-            best.append(top)
-            back.append(start)
-            if end - base >= 4 * self.longest or end == n:
-                # Boundaries on the path of every position that later pieces can start from.
-                live = range(max(base, end - self.longest + 1), end + 1) if end < n else [n]
-                at = set(live)
-                while len(at) > 1:
-                    far = max(at)
-                    at.remove(far)
-                    at.add(back[far - base] if far > base else base)
-                meet = at.pop()
-                if meet > base:
-                    yield from self._path(text, base, meet, back, literal_mark)
-                    best, back, base = best[meet - base :], back[meet - base :], meet
-
-    def stretches(self, text: str, literal_mark: str) -> tuple[int, ...]:
-        """Ids of a word: Viterbi between its certain boundaries, where those ids aren't known."""
-        out: list[int] = []
-        start, last, inside = 0, len(text) - 1, self.inside
-        for i in range(len(text)):
-            if i < last and text[i : i + 2] in inside:
-                continue
-            part = text[start : i + 1]
-            start = i + 1
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self.short(part) if len(part) <= 2 * self.longest and literal_mark not in part else tuple(self.viterbi(part, literal_mark))
-                if len(part) <= 64 and literal_mark not in part:
-                    if len(self.parts) >= self.keep:
-                        self.parts.clear()
-                    self.parts[part] = ids
-            out += ids
-        return tuple(out)
-
-    def short(self, text: str) -> tuple[int, ...]:
-        """The same for a text that fits the window: one pass, then one way back."""
-        n, longest, get, cost = len(text), self.longest, self.scores.get, self.byte_cost
-        best, back = [0.0], [0]
-        for end in range(1, n + 1):
-            value = get(text[end - 1])
-            if value is None:
-                value = cost * len(text[end - 1].encode())
-            top, start = best[end - 1] + value, end - 1
-            for s in range(end - 2, max(0, end - longest) - 1, -1):
-                value = get(text[s:end])
-                if value is not None and (value := value + best[s]) >= top:
-                    top, start = value, s
-            best.append(top)
-            back.append(start)
-        return tuple(self._path(text, 0, n, back, "\0none"))
-
-    def _path(self, text: str, base: int, end: int, back: list[int], literal_mark: str) -> list[int]:
-        out: list[int] = []
-        while end > base:
-            start = back[end - base]
-            piece = text[start:end]
-            if piece in self.ids:
-                out.append(self.ids[piece])
-            else:
-                out += [self.bytes[b] for b in reversed(piece.replace(literal_mark, MARK).encode())]
-            end = start
-        return out[::-1]
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        literal = ""
-        if MARK in text:
-            while literal in text:
-                literal = chr(ord(literal) + 1)
-            text = text.replace(MARK, literal)
-        else:
-            literal = "\0none"
-        marked = MARK + text.replace(" ", MARK)
-        if self.crosses:
-            return np.fromiter(self.viterbi(marked, literal), np.uint32)
-        out: list[int] = []
-        known = self.known
-        for part in self.stretch.findall(marked):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.stretches(part, literal)
-                if len(part) <= 64 and literal not in part:
-                    if len(known) >= self.keep:
-                        known.clear()
-                    known[part] = ids
-            out += ids
-        return np.array(out, np.uint32)
-
-    def decode(self, ids: np.ndarray) -> str:
-        parts: list[bytes] = []
-        for i in ids.tolist():
-            b = self.byte_of.get(i)
-            parts.append(bytes([b]) if b is not None else self.pieces[i].replace(MARK, " ").encode())
-        return b"".join(parts).decode("utf-8", "replace")[1:]
+        self.longest = max(map(len, self.scores), default=1)
+        self.crosses = any(MARK in p.lstrip(MARK) for p in self.scores)
+        self.windows = 0  # arrays of windows so far
+        self.kept = Kept(keep)
+        self._trie({self.pieces[i]: i for i in plain})
+        held = [bytes([b]) if (b := {i: b for b, i in self.bytes.items()}.get(i)) is not None else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.raw, self.raw_ends = np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)], dtype=np.int32)
+
+    def _trie(self, ids: dict[str, int]) -> None:
+        """Nodes by number (0: root): piece id or -1, its score, and children by node and character."""
+        node, child = {"": 0}, {}
+        for p in ids:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in node:
+                    node[p[:k]] = len(node)
+                    child[node[p[: k - 1]] * CODES + ord(p[k - 1])] = node[p[:k]]
+        self.piece = np.array([ids.get(p, -1) for p in node], np.int32)
+        self.score = np.array([self.scores.get(p, -np.inf) for p in node])
+        self.first = np.full(CODES + 1, -1, np.int32)
+        for key, n in child.items():
+            if key < CODES:
+                self.first[key] = n
+        self.keys = np.array(sorted(child), np.int64)
+        self.nodes = np.array([child[k] for k in self.keys.tolist()], np.int32)
+
+    def _edges(self, chars: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """score and id (-1: bytes) of the piece that ends at [e, , lane] and begins longest - k before it, at [, k, ]."""
+        sizes, longest = end - at, self.longest
+        score = np.full((int(sizes.max()) + 1, longest, len(at)), -np.inf)
+        piece = np.full(score.shape, -1, np.int32)
+        lane = np.repeat(np.arange(len(at)), sizes)
+        s = np.arange(len(lane)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = at[lane] + s
+        c = chars[place]
+        size = 1 + (c > 0x7F).astype(np.int8) + (c > 0x7FF) + (c > 0xFFFF)
+        score[s + 1, longest - 1, lane] = self.byte_cost * size
+        node = self.first[c]
+        for n in range(1, longest + 1):
+            on = node >= 0
+            lane, s, place, node = lane[on], s[on], place[on], node[on]
+            if not len(lane):
+                break
+            real = self.piece[node] >= 0
+            score[s[real] + n, longest - n, lane[real]] = self.score[node[real]]
+            piece[s[real] + n, longest - n, lane[real]] = self.piece[node[real]]
+            more = place + n < end[lane]
+            lane, s, place, node = lane[more], s[more], place[more], node[more]
+            key = node.astype(np.int64) * CODES + chars[place + n]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            node = np.where(self.keys[k] == key, self.nodes[k], -1)
+        return score, piece
+
+    def _stream(self, chars: np.ndarray, at: np.ndarray, stop: np.ndarray, took: np.ndarray) -> None:
+        """Viterbi over the lanes [at, stop) side by side, longest first; `took` gets piece id + 1, or -1 for bytes, at the
+        start of each committed piece."""
+        base = 4 * self.longest
+        window = np.full(len(at), base)
+        while len(at):
+            # Lanes whose window had to grow go alone.
+            now = np.flatnonzero(window == base) if (window == base).any() else np.arange(1)
+            here, end = at[now], np.minimum(stop[now], at[now] + window[now])
+            order = np.argsort(here - end, kind="stable")
+            now, here, end = now[order], here[order], end[order]
+            sizes = end - here
+            score, piece = self._edges(chars, here, end)
+            self.windows += 1
+            steps, longest, lanes = score.shape
+            best = np.full((steps + longest, lanes), -np.inf)  # of end position e at e + longest - 1
+            best[longest - 1] = 0
+            back = np.zeros((steps, lanes), np.int64)
+            live = np.searchsorted(-sizes, -np.arange(steps), side="right")
+            for e in range(1, steps):
+                m = live[e]
+                value = best[e - 1 : e - 1 + longest, :m] + score[e, :, :m]
+                k = value.argmax(0)
+                back[e, :m] = longest - k
+                best[e - 1 + longest, :m] = value[k, np.arange(m)]
+            done = end == stop[now]
+            goal = sizes.copy()
+            for i in np.flatnonzero(~done).tolist():
+                goal[i] = meeting(back[: sizes[i] + 1, i], longest)
+            window[now] = np.where(goal > 0, base, 2 * window[now])
+            lane, e = np.arange(lanes), goal
+            while len(lane := lane[e > 0]):
+                e = e[e > 0]
+                n = back[e, lane]
+                got = piece[e, longest - n, lane]
+                e = e - n
+                took[here[lane] + e] = np.where(got < 0, -1, got + 1)
+            at[now] += goal
+            on = at < stop
+            at, stop, window = at[on], stop[on], window[on]
+
+    def viterbi(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of non-empty marked stretches one after another, and how many each has."""
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        stop = np.cumsum(sizes)
+        took = np.zeros(len(chars), np.int32)
+        order = np.argsort(-sizes, kind="stable")
+        width = np.minimum(sizes[order], 4 * self.longest)
+        lo = 0
+        while lo < len(order):
+            hi = lo + max(1, CELLS // int(width[lo]))
+            part = order[lo:hi]
+            self._stream(chars, stop[part] - sizes[part], stop[part], took)
+            lo = hi
+        at = np.flatnonzero(took)
+        each = np.ones(len(at), np.int64)
+        odd = np.flatnonzero(took[at] < 0)
+        raw = [chr(c).replace(LITERAL, MARK).encode() for c in chars[at[odd]].tolist()]
+        each[odd] = list(map(len, raw))
+        ids = np.repeat((took[at] - 1).astype(np.uint32), each)
+        if raw:
+            first = (np.cumsum(each) - each)[odd]
+            held = np.array([self.bytes[b] for r in raw for b in r], np.uint32)
+            ids[np.repeat(first - np.cumsum(each[odd]) + each[odd], each[odd]) + np.arange(len(held))] = held
+        ends = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(at, stop)]
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, stretches: list[str]) -> None:
+        self.kept.hold(stretches, *self.viterbi([s.replace(MARK, LITERAL).replace(" ", MARK) for s in stretches]))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """uint32 ids of each text; a null is an empty text."""
+        for _, _, data, offsets in text_slices(texts, SLICE):
+            full = np.diff(offsets) > 0
+            data = np.insert(data, offsets[:-1][full], 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+            space = data == 32
+            begin = np.zeros(len(data), bool)
+            if not self.crosses:
+                begin[1:] = space[1:] & ~space[:-1]
+            begin[offsets[:-1][full]] = True
+            starts = np.flatnonzero(begin)
+            stretches = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+            flat, ends = self.kept.ids_of(stretches.dictionary_encode(), self._learn)
+            cuts = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield flat[lo:hi]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each array of ids."""
+        flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64)
+        starts = self.raw_ends[flat]
+        sizes = self.raw_ends[flat + 1] - starts
+        ends = np.cumsum(sizes, dtype=np.int64)
+        text = self.raw[np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [text[lo:hi].tobytes().decode("utf-8", "replace")[1:] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def meeting(back: np.ndarray, longest: int) -> int:
+    """The last boundary on the paths back from all positions that a later piece can start from; 0 if they don't meet."""
+    last = len(back) - 1
+    at = set(range(max(1, last - longest + 1), last + 1))
+    while len(at) > 1:
+        far = max(at)
+        at.remove(far)
+        at.add(far - int(back[far]))
+    return at.pop()
 
 
 _made: dict[str, Vocabulary] = {}
@@ -177,7 +224,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [vocabulary(path).encode(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            ids = [x.astype("<u4").tobytes() for x in vocabulary(path).encode(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
@@ -188,7 +235,16 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [vocabulary(path).decode(np.frombuffer(x.as_buffer(), "<u4")) for x in batch.column(1)]
+            held = [np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else np.zeros(0, np.uint32) for x in batch.column(1)]
+            texts: list[str] = []
+            at = 0
+            while at < len(held):
+                size, stop = 0, at
+                while stop < len(held) and (stop == at or size < 1 << 20):
+                    size += len(held[stop])
+                    stop += 1
+                texts += vocabulary(path).decode(held[at:stop])
+                at = stop
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

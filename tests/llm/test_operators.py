@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,8 +182,8 @@ def test_huffman_lengths():
 
 def test_tokenizer_matches_library():
     t = tokens.WordTokenizer(tokenizer_file(WORDS), keep=3)
-    odd = [*TEXTS, "it's 'sword don't", "a<|endoftext|>b", "x\x1cy\x85z\xa0w", "ΑΣ ΟΔΟΣ.", "µªº ÀÉ ß÷×", "a1b2c3!!d"]
-    for got, text in zip(t.encode(odd, 7), odd, strict=True):
+    odd = [*TEXTS, "it's 'sword don't", "a<|endoftext|>b", "x\x1cy\x85z\xa0w", "ΑΣ ΟΔΟΣ.", "µªº ÀÉ ß÷×", "a1b2c3!!d", "İI\u0307, H\u0331.É. é. A;漢. <|ENDOFTEXT|>"]
+    for got, text in zip(t.encode(pa.array(odd), 7), odd, strict=True):
         assert got.tolist() == [*t.library.encode(text or "", add_special_tokens=False).ids, 7]
 
 
@@ -203,16 +204,29 @@ def test_pieces(spark):
             best.append((max(options), None))
         return best[-1][0]
 
-    for text in ["hello world  foo", long_text(40), "ab" * 100, "a\nb", "漢字 \U0001f600", "x" * 200]:
-        ids = v.encode(text)
-        total = sum(v.byte_cost if i in v.byte_of else v.scores[v.pieces[i]] for i in ids.tolist())
-        marked = "▁" + text.replace(" ", "▁")
-        assert math.isclose(total, brute(marked), rel_tol=1e-12)
-        assert list(v.viterbi(marked, "\0none")) is not None and v.decode(ids) == text
-        streamed = sum(v.byte_cost if i in v.byte_of else v.scores[v.pieces[i]] for i in v.viterbi(marked, "\0none"))
-        assert math.isclose(total, streamed, rel_tol=1e-12)
+    texts = ["hello world  foo", long_text(40), "ab" * 100, "a\nb", "漢字 \U0001f600", "x" * 200, "▁ a▁b", "  ", None, ""]
+    for text, ids in zip(texts, v.encode(pa.array(texts)), strict=True):
+        total = sum(v.byte_cost if i in v.bytes.values() else v.scores[v.pieces[i]] for i in ids.tolist())
+        marked = "▁" + text.replace("▁", pieces.LITERAL).replace(" ", "▁") if text else ""
+        assert math.isclose(total, brute(marked.replace(pieces.LITERAL, "\ua9c1")), rel_tol=1e-12)  # another character of three bytes
+        assert v.decode([ids]) == [text or ""]
     out = pieces.decode(pieces.encode(docs(spark), path), path).collect()
     assert {r.doc_id: r.text for r in out} == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert pieces.decode(pieces.encode(docs(spark, ["a b", "a b"]).limit(0), path), path).isEmpty()
+
+
+def test_pieces_commit_inside_a_long_word():
+    v = pieces.Vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    word = "".join(np.random.default_rng(3).choice(list("abcde"), 5000))
+    shapes, edges = [], v._edges
+    v._edges = lambda *a: (shapes.append(int((a[2] - a[1]).max())), edges(*a))[1]
+    ids, sizes = v.viterbi(["▁" + word])
+    assert v.windows > 5000 / (4 * v.longest) and max(shapes) <= 8 * v.longest  # bounded windows, committed one by one
+    assert sizes.tolist() == [len(ids)] and v.decode([ids]) == [word]
+    best = [0.0]
+    for e in range(1, len(word) + 2):
+        best.append(max(best[s] + (v.scores[p] if (p := ("▁" + word)[s:e]) in v.scores else v.byte_cost if s == e - 1 else -math.inf) for s in range(max(0, e - v.longest), e)))
+    assert math.isclose(sum(v.scores[v.pieces[i]] for i in ids.tolist()), best[-1])
 
 
 def test_langid(spark):
