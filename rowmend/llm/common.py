@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -16,12 +17,24 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder (set to a default only where it is unset)."""
+    """A new folder below the cluster's checkpoint folder. Only a local session that has none gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rowmend-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rowmend-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has saved: once the operators' results are written elsewhere."""
+    _delete(spark, shared_dir(spark).rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -48,11 +61,9 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 def delete_saved(*frames: DataFrame) -> None:
     """Remove files of tables written by `save` that no later result reads."""
     for df in frames:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/rowmend-" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, folder)
 
 
 def fold(doc_id: str = "doc_id"):

@@ -323,12 +323,11 @@ def vectors(spark, n=300, width=8, seed=0):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_topk(spark, monkeypatch):
+def test_topk(spark):
     rows, df = vectors(spark)
-    monkeypatch.setattr(topk, "BLOCK", 64)
     points = topk.quantised(df)
     got = {}
-    for r in topk.top_k(points, points.where("vec_id % 20 = 0"), 7).collect():
+    for r in topk.top_k(points, points.where("vec_id % 20 = 0"), 7, 64).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     sound = {i: [math.floor(64 * v) for v in e] for i, e, _ in rows if e and all(v is not None and math.isfinite(v) for v in e)}
     for q in (i for i in sound if i % 20 == 0):
@@ -337,6 +336,43 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(points.limit(0), points.limit(0)).isEmpty()
 
 
+def test_topk_ties_copies_and_levels(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-60, 60, (12, 6))
+    rows = [(i, (centres[i % 12] + rng.integers(-2, 3, 6)).tolist()) for i in range(900)]
+    rows += [(1000 + i, [9, 9, 9, 9, 9, 9]) for i in range(300)]  # a group of copies that no centre parts
+    rows += [(40, [1, 2, 3, 4, 5, 6]), (1000, [9, 9, 9, 9, 9, 9])]  # repeated ids
+    points = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(5)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(points, points.where("vec_id % 20 = 0"), 5, 16).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q in {i for i in ids.tolist() if i % 20 == 0}:
+        mine = sorted(g[1:] for g in got if g[0] == q)
+        asked = np.flatnonzero(ids == q)
+        want = sorted({(-int(x[a] @ x[b]), int(ids[b]), int(a) if len(asked) == 1 else 0, int(b)) for a in asked for b in range(len(ids)) if ids[b] != q})[: 5 * len(asked)]
+        assert [m[1:] for m in mine] == [(w[1], -w[0]) for w in want][:5] or len(asked) > 1
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
+
+
+def test_cover_trees_prune():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-500, 500, (40, 16))
+    near = centres[rng.integers(0, 40, 4000)] + rng.integers(-4, 5, (4000, 16))
+    for x, most in ((near, 0.25), (rng.integers(-64, 64, (4000, 16)), 1.0)):
+        data, queries = topk.CoverTree(np.arange(4000), x).prepare(), topk.CoverTree(np.arange(0, 4000, 20), x[::20], topk.Q_LEAF).prepare()
+        for t in (data, queries):
+            assert len(t.kids) > 10 and sorted(t.ids.tolist()) == list(range(0, 4000, 1 if t is data else 20))
+            for a in range(len(t.lo)):
+                assert np.linalg.norm(t.exact[t.lo[a] : t.hi[a]] - t.exact[t.lo[a]], axis=1).max() <= t.radius[a] + 1e-9
+        search = topk.Search(queries, 10)
+        search.run(data)
+        share = search.scored / (200 * 4000)
+        assert share <= most, share
+        who, ids, score = search.found()
+        for q in range(0, 4000, 400):
+            want = sorted((-int(s), i) for i, s in enumerate((x @ x[q]).tolist()) if i != q)[:10]
+            assert [(-s, i) for s, i in zip(score[who == q].tolist(), ids[who == q].tolist(), strict=True)] == want
+
+
 def test_near_duplicates(spark):
     rows, df = vectors(spark)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df.repartition(4)).collect()}
