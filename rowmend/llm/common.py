@@ -53,7 +53,7 @@ def save(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """`df` (saved, of a few narrow columns) marked for broadcast if it has at most `rows` rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 

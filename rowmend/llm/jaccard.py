@@ -5,15 +5,20 @@ The overlap of two sets is at most the sum of the coordinate minima of their poi
 at most the sum of the minima of their upper corners, so R-trees of points prune whole blocks of pairs.
 
 A single R-tree over a whole corpus can't be dealt to tasks: its boxes overlap almost everywhere in this many
-dimensions. So the points are first dealt to cells: 63 bins of the hash range hold each set's smallest shingle hash,
-three neighbouring bins make one of 21 cell keys, and a set lies in 21 cells. Two sets at the threshold of 0.85 share no
-cell with probability (1 - 0.85**3)**21 < 3e-9, more similar ones with less. Each cell gets an R-tree, which is joined
-with itself; the surviving pairs are checked exactly on the whole sets.
-
-Equal sets are merged before anything else, so copies cost one point. Inside a cell only a spanning forest of the
-surviving pairs goes to the exact check; where a pair fails or pairs are left, its cell goes round again until every
-surviving pair is either checked or already joined by checked links, so no link between components is lost. Cells
-beyond `CHUNK` points are dealt as pairs of chunks.
+dimensions. So the points are first dealt to cells, without loss: shingles have one order over the whole corpus, and two
+sets that reach the threshold t share one of the first n - ceil(t n) + 1 shingles of each (n: its size), for the first
+shingle they share can't come later in a set that shares t n of its shingles. A cell is such a shingle. The order puts
+those of often used hash buckets last (`BUCKETS` counts over the whole corpus), so that passages shared by many texts
+hardly make cells. Each cell gets an R-tree, which is joined with itself; the surviving pairs are checked exactly on the
+whole sets.
+
+Equal sets are merged before anything else, so copies cost one point. First every set is in the cells of its first
+`FIRST` shingles alone, which joins most components; then in all of its cells, of which those inside one component are
+left out. Inside a cell only a spanning forest of the surviving pairs between components goes to the exact check; where
+a pair fails or pairs are left, its cell goes round again until every surviving pair is either checked or inside a
+component of checked links, so no link between components is lost. From the second turn on, a pair that shares several
+cells belongs to the first of them. Cells beyond `CHUNK` points are dealt as pairs of
+chunks.
 
 Inputs: null text, empty text and text without words have an empty set and link with nothing. Repeated doc_ids with
 equal text merge like copies. Other columns are ignored.
@@ -22,6 +27,7 @@ equal text merge like copies. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +37,62 @@ from pyspark.sql import functions as F
 from rowmend.llm.common import Forest, components, delete_saved, group_starts, save, shingle_sets, small, small_batches, whole_groups
 
 GROUPS = 256
-BINS, BAND = 63, 3
+BUCKETS = 18  # bits
+FIRST = 3
 CHUNK = 2000
 LEAF = 16
 CUT = 2
 
 
-def set_points(docs: DataFrame, words: int) -> DataFrame:
+def bucket_ranks(texts: DataFrame, words: int) -> np.ndarray:
+    """The place of each hash bucket (top bits of a shingle's hash) in the order by its number of sets' shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKETS, np.int64)
+        for batch in batches:
+            for _, s in shingle_sets(batch.column(0), words):
+                np.add.at(total, (s >> np.uint64(64 - BUCKETS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 1 << BUCKETS rows
+    total = np.zeros(1 << BUCKETS, np.int64)
+    total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    ranks = np.empty(1 << BUCKETS, np.uint32)
+    ranks[np.argsort(total, kind="stable")] = np.arange(1 << BUCKETS, dtype=np.uint32)
+    return ranks
+
+
+def first_shingles(s: np.ndarray, ranks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Cell keys of a set in order: its first shingles by bucket rank, then hash, as many as the threshold asks for."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
+    most = n + (-num * n // den) + 1
+    low = np.uint64(64 - BUCKETS)
+    keys = ranks[(s >> low).astype(np.int64)].astype(np.uint64) << low | s & np.uint64((1 << 64 - BUCKETS) - 1)
+    return np.sort(np.partition(keys, most - 1)[:most] if most < n else keys).view(np.int64)
+
+
+def set_points(texts: DataFrame, words: int, ranks: np.ndarray, num: int, den: int) -> DataFrame:
     """(doc_id, n, f1, f2, cells array<long>, point binary): one row per document."""
     schema = "doc_id long, n long, f1 long, f2 long, cells array<long>, point binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             n, f1, f2, cells, points = [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
                 f1.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
                 f2.append(int((s * np.uint64(0x9E3779B97F4A7C15) ^ (s >> np.uint64(29))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 points.append(_narrow(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)).tobytes() if len(s) else b"")
-                cells.append(_cells(s))
+                cells.append(first_shingles(s, ranks, num, den))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(points, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                 names=["doc_id", "n", "f1", "f2", "cells", "point"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
@@ -64,21 +100,6 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4")
 
 
-def _cells(s: np.ndarray) -> np.ndarray:
-    """Cell keys of a sorted set: smallest hash in each bin (an empty bin takes the next one's), in bands."""
-    if not len(s):
-        return np.zeros(0, np.int64)
-    bins = ((s >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    full, at = np.unique(bins, return_index=True)
-    least = s[at][np.searchsorted(full, np.arange(BINS, dtype=np.uint64)) % len(full)]
-    with np.errstate(over="ignore"):
-        key = np.arange(BINS // BAND, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-        for row in least.reshape(-1, BAND).T:
-            key = (key ^ row) * np.uint64(0xE7037ED1A0B428DB)
-            key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
 class Tree:
     """R-tree over points of one cell, packed by size and then by coordinates; boxes as arrays level by level."""
 
@@ -114,83 +135,105 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a, size_b, num: int, den: int) -
     return (num + den) * np.minimum(a, b).sum(-1) >= num * (size_a + size_b)
 
 
-def cell_pairs(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, cells: np.ndarray, band: int, known: list[tuple[int, int, bool]], turn: int, num: int, den: int, cut_off: float = CUT) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one cell to check next, and whether there are more of them.
+def cell_pairs(ids: np.ndarray, points: np.ndarray, sizes: np.ndarray, component: np.ndarray, failed: np.ndarray, turn: int, num: int, den: int, elsewhere: np.ndarray | None = None, cut_off: float = CUT) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of one cell to check next, and whether there are more of them: surviving pairs between components.
 
-    First turn: a spanning forest of the surviving pairs, in tree order. Later turns: surviving pairs without a
-    verdict whose ends no checked links join yet, at most cut_off * 4**turn for each point; the rest come in the next turn.
-    A pair that shares several cells belongs to the one of the lowest band alone.
+    First turn: a spanning forest of them, in tree order. Later turns: all but the `failed` ones and those that also
+    share one of the cells before this one (`elsewhere`: which of these each point is in), at most cut_off * 4**turn
+    for each point; the rest come in the next turn.
     """
-    if len(ids) < 2:
-        return [], False
+    none = np.zeros(0, np.int64)
+    if len(ids) < 2 or (component == component[0]).all():
+        return none, none, False
     tree, n = Tree(points, sizes), len(ids)
-    cells = cells[tree.order]
-    place = {int(x): i for i, x in enumerate(ids[tree.order])}
+    own = ids[tree.order]
     box, size, linked = tree.points, tree.sizes, Forest(n)
-    seen = {min(place[a], place[b]) * n + max(place[a], place[b]) for a, b, _ in known}
-    for a, b, ok in known:
-        if ok:
-            linked.union(place[a], place[b])
-    seen = np.sort(np.fromiter(seen, np.int64, len(seen)))
+    first: dict[int, int] = {}
+    for i, c in enumerate(component[tree.order].tolist()):
+        linked.union(first.setdefault(c, i), i)
+    by = np.argsort(own)
+    a, b = by[np.searchsorted(own[by], failed)]
+    seen = np.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)), n * n)
+    before = elsewhere[tree.order].astype(np.float32) if elsewhere is not None else None
     blocks = tree.blocks(num, den)
     blocks = blocks[np.lexsort((blocks[:, 0], blocks[:, 1] - blocks[:, 0]))]
     cut = np.arange(0, n, LEAF)
-    found: list[tuple[int, int]] = []
-    most = max(1, int(cut_off * 4**turn * n))
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(LEAF), np.arange(LEAF), indexing="ij"))
+    found: list[np.ndarray] = []
+    count, most = 0, max(1, int(cut_off * 4**turn * n))
     for same_offset in np.split(blocks, np.flatnonzero(np.diff(blocks[:, 1] - blocks[:, 0])) + 1):
         root = linked.roots()
         low, high = np.minimum.reduceat(root, cut), np.maximum.reduceat(root, cut)
         p, q = same_offset.T
-        for p, q in same_offset[np.minimum(low[p], low[q]) != np.maximum(high[p], high[q])].tolist():
-            x, y = np.arange(p * LEAF, min(n, (p + 1) * LEAF))[:, None], np.arange(q * LEAF, min(n, (q + 1) * LEAF))[None]
-            ok = (x < y) & (root[x] != root[y]) & may_link(box[x], box[y], size[x], size[y], num, den)
-            ok &= ~np.isin(x * n + y, seen, assume_unique=True)
-            i, j = np.nonzero(ok)
-            own = first_band(cells[i + p * LEAF], cells[j + q * LEAF]) == band
-            i, j = i[own], j[own]
-            for i, j in zip((i + p * LEAF).tolist(), (j + q * LEAF).tolist(), strict=True):
-                if turn or linked.union(i, j):
-                    found.append((i, j))
-        if turn and len(found) > most:
+        open_blocks = same_offset[np.minimum(low[p], low[q]) != np.maximum(high[p], high[q])]
+        for k in range(0, len(open_blocks), 32):
+            p, q = open_blocks[k : k + 32].T
+            i, j = (p[:, None] * LEAF + x).ravel(), (q[:, None] * LEAF + y).ravel()
+            ok = (i < j) & (j < n)
+            i, j = i[ok], j[ok]
+            ok = root[i] != root[j]
+            i, j = i[ok], j[ok]
+            ok = seen[np.searchsorted(seen, i * n + j)] != i * n + j
+            i, j = i[ok], j[ok]
+            ok = may_link(box[i], box[j], size[i], size[j], num, den)
+            i, j = i[ok], j[ok]
+            if before is not None and len(i):
+                ok = (before[i] * before[j]).sum(1) == 0
+                i, j = i[ok], j[ok]
+            if not turn and len(i):
+                ok = np.fromiter((linked.union(u, v) for u, v in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+                i, j = i[ok], j[ok]
+            found.append(np.stack([own[i], own[j]]))
+            count += len(i)
+        if turn and count > most:
             break
-    own = ids[tree.order]
-    return [(int(min(own[i], own[j])), int(max(own[i], own[j]))) for i, j in found[: most if turn else None]], bool(turn) and len(found) > most
+    pairs = np.sort(np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)[:, : most if turn else None], axis=0)
+    return pairs[0], pairs[1], bool(turn) and count > most
 
 
-def first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.argmax(a == b, axis=-1)
+def _before(cells: pa.Array, cell: int) -> np.ndarray | None:
+    """For each row of cell keys: which keys below `cell` it holds, of those that several rows hold."""
+    keys, rows = cells.flatten().to_numpy(), np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    rows, keys = rows[keys < cell], keys[keys < cell]
+    held, code, count = np.unique(keys, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
+    out = np.zeros((len(cells), int((count > 1).sum())), bool)
+    out[rows[column >= 0], column[column >= 0]] = True
+    return out if out.shape[1] else None
 
 
 def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """rows: (cell, i, j, band, kind, id, n, point, cells, other, ok), kind 0 points and kind 1 known verdicts -> (cell, i, j, a, b), and a row with null a and b where the cell has more."""
+    """rows: (cell, i, j, kind, id, n, point, cells, component, other), kind 0 points and kind 1 failed pairs -> (cell, i, j, a, b), and a row with null a and b where the cell has more."""
     keys, cut_off = ["cell", "i", "j"], CUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
-            col = {c: table.column(c).to_numpy() for c in ("cell", "i", "j", "band", "kind", "id", "n", "other", "ok")}
+            col = {c: table.column(c).to_numpy() for c in ("cell", "i", "j", "kind", "id", "n", "component", "other")}
             is_point = col["kind"] == 0
             points = np.zeros((table.num_rows, GROUPS), np.int32)
             raw = table.column("point").combine_chunks().filter(pa.array(is_point))
             for i, p in zip(np.flatnonzero(is_point).tolist(), raw.to_pylist(), strict=True):
                 points[i] = np.frombuffer(p, f"<u{len(p) // GROUPS}")
-            cells = np.zeros((table.num_rows, BINS // BAND), np.int64)
-            cells[is_point] = table.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, BINS // BAND)
+            cells = table.column("cells").combine_chunks()
             starts = group_starts(table, keys)
             ends = np.append(starts[1:], table.num_rows)
-            out: list[tuple[int, int | None, int | None]] = []
-            twos = starts[(ends - starts == 2) & is_point[starts] & is_point[np.minimum(starts + 1, table.num_rows - 1)]]
-            twos = twos[first_band(cells[twos], cells[twos + 1]) == col["band"][twos]]
-            good = twos[may_link(points[twos], points[twos + 1], col["n"][twos], col["n"][twos + 1], num, den)]
-            out += [(s, min(x, y), max(x, y)) for s, x, y in zip(good.tolist(), col["id"][good].tolist(), col["id"][good + 1].tolist(), strict=True) if x != y]
-            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            twos = starts[(ends - starts == 2) & is_point[starts] & is_point[np.minimum(starts + 1, table.num_rows - 1)]] if not turn else starts[:0]
+            good = twos[may_link(points[twos], points[twos + 1], col["n"][twos], col["n"][twos + 1], num, den) & (col["component"][twos] != col["component"][twos + 1])]
+            at, a, b = [good], [np.minimum(col["id"][good], col["id"][good + 1])], [np.maximum(col["id"][good], col["id"][good + 1])]
+            rest: list[int] = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if e - s == 1 or e - s == 2 and not turn:
+                    continue
                 p = np.arange(s, e)[is_point[s:e]]
                 k = np.arange(s, e)[~is_point[s:e]]
-                known = list(zip(col["id"][k].tolist(), col["other"][k].tolist(), col["ok"][k].tolist(), strict=True))
-                now, more = cell_pairs(col["id"][p], points[p], col["n"][p], cells[p], int(col["band"][s]), known, turn, num, den, cut_off)
-                out += [(s, a, b) for a, b in now] + [(s, None, None)] * more
-            s = np.array([o[0] for o in out], np.int64)
+                elsewhere = _before(cells.take(pa.array(p)), int(col["cell"][s])) if turn else None
+                x, y, more = cell_pairs(col["id"][p], points[p], col["n"][p], col["component"][p], np.stack([col["id"][k], col["other"][k]]), turn, num, den, elsewhere, cut_off)
+                at, a, b = [*at, np.full(len(x), s)], [*a, x], [*b, y]
+                rest += [s] * more
+            s = np.concatenate([*at, np.array(rest, np.int64)])
+            none = pa.nulls(len(rest), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(col["cell"][s]), pa.array(col["i"][s]), pa.array(col["j"][s]), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
+                [*(pa.array(col[c][s]) for c in keys), *(pa.concat_arrays([pa.array(np.concatenate(v)), none]) for v in (a, b))],
                 names=["cell", "i", "j", "a", "b"],
             )
 
@@ -223,59 +266,85 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, items binary")
 
 
+def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame:
+    """(cell, i, j, id, n, point) of the sets `points` in cells that hold sets of two components or more; of cells with the same members, one."""
+    cells = F.slice("cells", 1, first) if first else F.col("cells")
+    known = points.select("doc_id", cells.alias("cells")).join(small(joined), F.col("doc_id") == F.col("id"), "left")
+    in_cells = known.select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), F.explode("cells").alias("cell"))
+    marks = [F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
+    shared = in_cells.groupBy("cell").agg(*marks).where("low < high").groupBy("size", "low", "high", "mark").agg(F.min("cell").alias("cell"))
+    shared = save(shared.select("cell", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
+    member = in_cells.drop("component").join(small(shared), "cell").select("cell", "chunks", F.col("doc_id").alias("id"))
+    mine = F.pmod(F.xxhash64("cell", "id"), F.col("chunks")).cast("int")
+    dealt = member.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("cell", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id")
+    out = save(dealt.join(points.select(F.col("doc_id").alias("id"), "n", "point"), "id"))
+    delete_saved(shared)
+    return out
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
     Links: Jaccard of the sets of `words`-word shingles at least num/den. component_id: smallest doc_id reachable.
     Rows whose doc_id is null stay alone, with a null component. An empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    points = save(set_points(small_batches(texts), words))
+    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    points = save(set_points(texts, words, bucket_ranks(texts, words), num, den))
     print_of = ["n", "f1", "f2"]
-    classes = points.where("n > 0 and doc_id is not null").groupBy(*print_of).agg(F.min("doc_id").alias("rep"))
-    classes = save(classes)
-    reps = points.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    # Cells that hold two points or more; of cells with the same members, one.
-    in_cells = reps.select("doc_id", F.posexplode("cells").alias("band", "cell"))
-    marks = [F.min("band").alias("band"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("h2")]
-    shared = in_cells.groupBy("cell").agg(*marks).where("size > 1").groupBy("size", "h1", "h2").agg(F.min(F.struct("band", "cell")).alias("c"))
-    shared = shared.select("c.cell", "c.band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    member = in_cells.drop("band").join(shared, "cell").select("cell", "band", "chunks", F.col("doc_id").alias("id"))
-    member = save(member)
-
-    mine = F.pmod(F.xxhash64("cell", "id"), F.col("chunks")).cast("int")
-    dealt = member.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cell", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "band", "id")
-    dealt = dealt.join(points.select(F.col("doc_id").alias("id"), "n", "point", "cells").dropDuplicates(["id"]), "id")
-    dealt = save(dealt.select("cell", "i", "j", "band", F.lit(0).alias("kind"), "id", "n", "point", "cells", F.lit(0).cast("long").alias("other"), F.lit(False).alias("ok")))
-
-    checked: DataFrame | None = None
-    asked: DataFrame | None = None
-    todo, turn = dealt, 0
-    while True:
-        answers = save(_candidates(todo, turn, num, den))
-        found, more = answers.where("a is not null"), answers.where("a is null").select("cell", "i", "j")
-        if turn == 0:  # a document with any surviving pair is in its cell's spanning forest
-            involved = save(found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-            sets = save(_sets(texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words))
-        pairs = found.select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        fresh = save(_checked(pairs, sets, num, den))
-        checked = fresh if checked is None else checked.unionByName(fresh)
-        asked = found if asked is None else asked.unionByName(found)
-        verdicts = save(asked.join(checked, ["a", "b"]).select("cell", "i", "j", "a", "b", "ok"))
-        again = found.join(checked.where("not ok"), ["a", "b"], "left_semi").select("cell", "i", "j")
-        again = save(again.unionByName(more).distinct())
-        if again.isEmpty():
-            break
-        known = verdicts.select("cell", "i", "j", F.lit(0).alias("band"), F.lit(1).alias("kind"), F.col("a").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), F.lit(None).cast("array<long>").alias("cells"), F.col("b").alias("other"), "ok")
-        todo = dealt.unionByName(known).join(again, ["cell", "i", "j"], "left_semi")
-        turn += 1
-    links = checked.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = components(links)
-    classes = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*print_of, F.coalesce("component_id", "rep").alias("component_id"))
-    out = points.select("doc_id", *print_of).join(classes, print_of, "left")
-    delete_saved(dealt, sets, member)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = save(points.where("n > 0 and doc_id is not null").groupBy(*print_of).agg(F.min("doc_id").alias("rep")))
+    reps = save(points.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    spark = docs.sparkSession
+    joined = spark.createDataFrame([], "id long, component_id long")
+    checked: list[DataFrame] = []
+    sets: list[DataFrame] = []
+    for first in (FIRST, None):
+        dealt = _dealt(reps, joined, first)
+        again, asked, turn = None, [], 0
+        while True:
+            todo = dealt.withColumn("cells", F.lit(None).cast("array<long>"))
+            if again is not None:
+                todo = dealt.join(again, ["cell", "i", "j"], "left_semi").join(reps.select(F.col("doc_id").alias("id"), "cells"), "id")
+            now = todo.join(small(joined), "id", "left").select("cell", "i", "j", F.lit(0).alias("kind"), "id", "n", "point", "cells", F.coalesce("component_id", "id").alias("component"), F.lit(0).cast("long").alias("other"))
+            if asked:
+                failed = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, checked).where("not ok"), ["a", "b"]).join(again, ["cell", "i", "j"], "left_semi")
+                zero, no_set = F.lit(0).cast("long"), F.lit(None)
+                now = now.unionByName(failed.select("cell", "i", "j", F.lit(1).alias("kind"), F.col("a").alias("id"), zero.alias("n"), no_set.cast("binary").alias("point"), no_set.cast("array<long>").alias("cells"), zero.alias("component"), F.col("b").alias("other")))
+            answers = save(_candidates(now, turn, num, den))
+            found, more = answers.where("a is not null"), answers.where("a is null").select("cell", "i", "j")
+            asked.append(found)
+            pairs = found.select("a", "b").distinct()
+            if checked:
+                pairs = pairs.join(reduce(DataFrame.unionByName, checked).select("a", "b"), ["a", "b"], "left_anti")
+            pairs = save(pairs)
+            involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            if sets:
+                involved = involved.join(reduce(DataFrame.unionByName, sets).select("doc_id"), "doc_id", "left_anti")
+            involved = save(involved)
+            if not involved.isEmpty():
+                sets.append(save(_sets(texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)))
+            if not pairs.isEmpty():
+                checked.append(save(_checked(pairs, reduce(DataFrame.unionByName, sets), num, den)))
+                new = checked[-1].where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+                if not new.isEmpty():
+                    # What is joined so far counts as links, so only components that a new link touches change.
+                    before, joined = joined, components(joined.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(new))
+                    delete_saved(before)
+            delete_saved(involved, pairs)
+            if first:
+                break  # what failed or is left goes on in all cells
+            last = again
+            again = found.join(reduce(DataFrame.unionByName, checked).where("not ok"), ["a", "b"], "left_semi").select("cell", "i", "j") if checked else found.select("cell", "i", "j").limit(0)
+            again = save(again.unionByName(more).distinct())
+            delete_saved(*([] if last is None else [last]))
+            if again.isEmpty():
+                delete_saved(again)
+                break
+            turn += 1
+        delete_saved(dealt, *asked)
+    classes_of = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*print_of, F.coalesce("component_id", "rep").alias("component_id"))
+    out = points.select("doc_id", *print_of).join(classes_of, print_of, "left")
+    out = save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    delete_saved(points, classes, reps, joined, *sets, *checked)
+    return out

@@ -94,11 +94,13 @@ def test_jaccard_comes_back_for_pairs_cut_off(spark, monkeypatch):
 
 def test_cell_goes_on_after_a_passed_cut():
     ids, group = np.arange(60), np.repeat([0, 1, 2], [1, 19, 40])
-    points, cells = np.full((60, jaccard.GROUPS), 2), np.zeros((60, 21), np.int64)
+    points, ends = np.full((60, jaccard.GROUPS), 2), {i: i for i in range(60)}
     known, passed = [], []
     for turn in range(20):
-        pairs, more = jaccard.cell_pairs(ids, points, points.sum(1), cells, 0, known, turn, 85, 100, 0.001)
-        fresh = [(a, b, bool(group[a] == group[b])) for a, b in pairs]
+        component = np.array([ends[i] for i in range(60)])
+        failed = np.array([(a, b) for a, b, ok in known if not ok], np.int64).reshape(-1, 2).T
+        a, b, more = jaccard.cell_pairs(ids, points, points.sum(1), component, failed, turn, 85, 100, None, 0.001)
+        fresh = [(i, j, bool(group[i] == group[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         known += fresh
         ends = brute_components(range(60), [(a, b) for a, b, ok in known if ok])
         passed += [len(set(ends.values()))] if turn and more and all(ok for *_, ok in fresh) else []
@@ -107,6 +109,34 @@ def test_cell_goes_on_after_a_passed_cut():
     assert len(set(ends.values())) == 3 and passed[0] > 3  # a cut list passed entirely while links were left
 
 
+def test_jaccard_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    rng = np.random.default_rng(21)
+    whole = "w525230 w911474 w360039 w756135 w919351 w345362 w789207 w436315 w818764"
+    texts = [whole, whole.split(" ", 1)[1]]  # four of five shingles
+    for n in rng.integers(5, 13, 150).tolist():
+        words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        texts += [" ".join(words), " ".join(words[1:]), " ".join(words[:-1]), " ".join([*words, "more"])]
+    for words, num in ((4, 85), (5, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(spark, texts), words, num, 100).collect()}
+        sets = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or {tuple(w)} for w in (t.split() for t in texts)]
+        links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+        assert got == brute_components(range(len(texts)), links)
+        assert num == 85 or got[1] == 0
+
+
+def test_first_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(2)
+    ranks = rng.permutation(1 << jaccard.BUCKETS).astype(np.uint32)
+    for n in range(1, 200):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        left = rng.permutation(s)[: -(-85 * n // 100)]
+        other = np.unique(np.concatenate([left, rng.integers(0, 1 << 63, max(0, (100 * len(left) - 85 * n) // 85)).astype(np.uint64)]))
+        both = len(np.intersect1d(s, other))
+        if 100 * both >= 85 * (len(s) + len(other) - both):
+            assert set(jaccard.first_shingles(s, ranks, 85, 100)) & set(jaccard.first_shingles(other, ranks, 85, 100))
+
+
 def test_rtree_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     points = rng.integers(0, 3, (300, jaccard.GROUPS))
