@@ -12,15 +12,18 @@ such elements, an article or most of the paragraphs; layout words (with-sidebar,
 blocks are all barred by words is read without them.
 
 Inputs: null and empty html give an empty text; a null or odd url is its own host; markup is never required to be
-well-formed. Extra columns pass through unless their name clashes with an output's.
+well-formed. Repeated rows give equal rows, pages with one page_id each their own text; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,35 +50,57 @@ _WORD = re.compile(r"[a-z]+")
 _LAYOUT = re.compile(r"(?<![a-z])(?:with|no|has)[-_]+[a-z_-]+")
 
 
+class Path:
+    """A generalised path; `seen` holds one of each in a page, parents before children."""
+
+    __slots__ = ("up", "step", "depth", "number", "hash")
+
+    def __init__(self, up: Path | None, step: str, number: int):
+        self.up, self.step, self.number = up, step, number
+        self.depth = up.depth + 1 if up else 0
+        digest = blake2b((up.hash.to_bytes(8, "little", signed=True) if up else b"") + step.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        self.hash = int.from_bytes(digest, "little", signed=True)
+
+
+class Doubts(NamedTuple):
+    """The elements around a block that words may bar: the innermost one's number, and those around it."""
+
+    number: int
+    up: Doubts | None
+
+
 class Block:
     """A block's text with the generalised paths of the elements around it, and those of them that words may bar."""
 
     __slots__ = ("parts", "path", "tag", "linked", "doubts")
 
-    def __init__(self, path: tuple[str, ...], tag: str, doubts: tuple[int, ...]):
+    def __init__(self, path: Path, tag: str, doubts: Doubts | None):
         self.parts: list[str] = []
         self.path, self.tag, self.linked, self.doubts = path, tag, 0, doubts
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
-    """(path, tag, text, linked characters) of all blocks outside of boilerplate, in page order."""
+def blocks(html: str) -> list[tuple[Path, str, str, int]]:
+    """(path, tag, text, linked characters) of all blocks outside of boilerplate, in page order. Linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # (tag, generalised step, barred, elements that words may bar)
+    root = Path(None, "", 0)
+    seen: dict[tuple[Path, str], Path] = {}
+    stack: list[tuple[str, Path, str, bool, Doubts | None]] = []  # (tag, path, innermost block tag, barred, elements that words may bar)
     doubtful, spared, wraps, plain = 0, set(), set(), False
     now: Block | None = None
-    at, raw_until, links = 0, None, 0
+    at, raw_until = 0, None
+    opened: Counter[str] = Counter()  # elements of each tag on the stack
 
     def text(s: str) -> None:
         nonlocal now
-        if not s or (stack and stack[-1][2]):
+        if not s or (stack and stack[-1][3]):
             return
         if now is None:
             if not s.strip():
                 return
-            now = Block(tuple(step for tag, step, *_ in stack if tag in BLOCK), next((t for t, *_ in reversed(stack) if t in BLOCK), ""), stack[-1][3] if stack else ())
+            now = Block(*((stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (root, "", None)))
             out.append(now)
         now.parts.append(s)
-        if links:
+        if opened["a"]:
             now.linked += len(s.strip())
 
     def end_block() -> None:
@@ -98,10 +123,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
         if token[1] == "/":
             if tag == "br":
                 text(" ")
-            elif any(t == tag for t, *_ in stack):
+            elif opened[tag]:
                 while stack:
                     t, *_ = stack.pop()
-                    links -= t == "a"
+                    opened[t] -= 1
                     if t == tag:
                         break
             if tag in BLOCK:
@@ -112,15 +137,15 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
             continue
         if tag in BLOCK:
             end_block()
-            if tag in CLOSES_P and any(t == "p" for t, *_ in stack):
+            if tag in CLOSES_P and opened["p"]:
                 while stack:
                     t, *_ = stack.pop()
-                    links -= t == "a"
+                    opened[t] -= 1
                     if t == "p":
                         break
             shut = SAME.get(tag, ())
             while stack and stack[-1][0] in shut:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else (len(html) if tag in ("script", "style", "textarea", "title", "xmp") else at)
@@ -130,18 +155,23 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
         named = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(token[len(tag) + 1 : -1])}
         classes = _SPACES.sub(" ", re.sub(r"\d+", "", named.get("class", ""))).strip().lower()
         words = set(_WORD.findall(_LAYOUT.sub(" ", f"{classes} {named.get('id', '')} {named.get('role', '')}".lower())))
-        inside = any(t in ("article", "main") for t, *_ in stack)
-        barred = bool(stack and stack[-1][2]) or tag in BARRED or tag == "header" and not inside or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
-        doubts = stack[-1][3] if stack else ()
+        inside = opened["article"] or opened["main"]
+        barred = bool(stack and stack[-1][3]) or tag in BARRED or tag == "header" and not inside or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
+        path, around, doubts = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (root, "", None)
         if tag not in ("html", "body", "main", "article", "h1") and words & BAR_WORDS:
-            doubts, doubtful = (*doubts, doubtful), doubtful + 1
+            doubts, doubtful = Doubts(doubtful, doubts), doubtful + 1
         if not barred and tag in ("main", "h1"):
-            spared.update(doubts)
+            _mark(spared, doubts)
         if not barred and (tag == "main" or tag == "article" and not words & BAR_WORDS):
-            wraps.update(doubts)
-            plain |= not doubts
-        links += tag == "a"
-        stack.append((tag, f"{tag}.{classes.replace(' ', '.')}" if classes else tag, barred, doubts))
+            _mark(wraps, doubts)
+            plain |= doubts is None
+        opened[tag] += 1
+        if tag in BLOCK:
+            step = f"{tag}.{classes.replace(' ', '.')}" if classes else tag
+            if (path, step) not in seen:
+                seen[path, step] = Path(path, step, len(seen) + 1)
+            path, around = seen[path, step], tag
+        stack.append((tag, path, around, barred, doubts))
     if at < len(html):
         rest = html[at:]
         cut = rest.find("<")
@@ -150,53 +180,108 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, str, int]]:
         text(unescape(rest))
     done = [(b.doubts, (b.path, b.tag, t, b.linked)) for b in out if (t := _SPACES.sub(" ", "".join(b.parts)).strip())]
     if doubtful and not plain:
-        held = dict.fromkeys(range(doubtful), 0)
+        held, ups = [0] * doubtful, [-1] * doubtful
         for doubts, (_, tag, t, _) in done:
-            for d in doubts if tag == "p" else ():
-                held[d] += len(t)
+            if doubts and tag == "p":
+                held[doubts.number] += len(t)
+            while doubts and ups[doubts.number] == -1:
+                ups[doubts.number] = doubts.up.number if doubts.up else -2
+                doubts = doubts.up
+        for d in range(doubtful - 1, -1, -1):  # the outer ones have lower numbers
+            if ups[d] >= 0:
+                held[ups[d]] += held[d]
         most = sum(len(t) for _, (_, tag, t, _) in done if tag == "p") / 2
-        spared |= wraps | {d for d, n in held.items() if n > most}
-    return [b for doubts, b in done if spared.issuperset(doubts)] or [b for _, b in done]
+        spared |= wraps | {d for d, n in enumerate(held) if n > most}
+    clear: dict[int, bool] = {}
+    return [b for doubts, b in done if _clear(doubts, spared, clear)] or [b for _, b in done]
+
+
+def _mark(marked: set[int], doubts: Doubts | None) -> None:
+    while doubts and doubts.number not in marked:
+        marked.add(doubts.number)
+        doubts = doubts.up
+
 
+def _clear(doubts: Doubts | None, spared: set[int], known: dict[int, bool]) -> bool:
+    """Whether all of `doubts` are spared."""
+    way = []
+    while doubts and doubts.number not in known:
+        way.append(doubts.number)
+        doubts = doubts.up
+    clear = known[doubts.number] if doubts else True
+    for d in reversed(way):
+        clear = known[d] = clear and d in spared
+    return clear
 
-def best_path(found: list) -> tuple[str, float] | None:
+
+def best_path(found: list) -> tuple[Path, float] | None:
     """The container with the highest score: text of its own blocks, a share of nested blocks', less link text."""
-    scores: dict[tuple[str, ...], float] = {}
+    scores: dict[Path, float] = {}
     for path, tag, text, linked in found:
         worth = (len(text) - 2 * linked) * (1.5 if tag in PROSE else 1.0)
-        holder = path[:-1] if tag not in ("body", "div", "article", "section", "main", "td") else path
-        for depth, share in ((len(holder), 1.0), (len(holder) - 1, 0.5)):
-            if depth > 0:
-                key = holder[:depth]
-                bonus = 1.25 if key[-1].split(".")[0] in ("article", "main") else 1.0
+        holder = path.up if path.depth and tag not in ("body", "div", "article", "section", "main", "td") else path
+        for key, share in ((holder, 1.0), (holder.up, 0.5)):
+            if key and key.depth:
+                bonus = 1.25 if _article(key) else 1.0
                 scores[key] = scores.get(key, 0.0) + worth * share * bonus
     if not scores:
         return None
-    key = max(scores, key=lambda k: (scores[k], -len(k), k))
-    return " ".join(_lifted(found, key)), scores[key]
-
-
-def _lifted(found: list, key: tuple[str, ...]) -> tuple[str, ...]:
-    """The nearest article or main around `key`, or else the lowest container around all prose without many links."""
-    whole = next((key[:depth] for depth in range(len(key), 0, -1) if key[depth - 1].split(".")[0] in ("article", "main")), None)
-    prose = [path for path, tag, text, linked in found if tag in PROSE and 2 * linked < len(text)]
-    if whole:
-        return whole if any(path[: len(whole)] == whole and path[: len(key)] != key for path in prose) else key
-    return next((key[:depth] for depth in range(len(key), 0, -1) if all(path[:depth] == key[:depth] for path in prose)), key)
+    key = max(scores, key=lambda k: (scores[k], -k.depth, -k.number))
+    return _lifted(found, key), scores[key]
 
 
-def text_under(found: list, paths: list[str]) -> str:
-    wanted = {tuple(p.split(" ")) for p in paths}
-    return "\n".join(text for path, _, text, _ in found if any(path[:depth] in wanted for depth in range(1, len(path) + 1)))
+def _article(path: Path) -> bool:
+    return path.step.split(".")[0] in ("article", "main")
 
 
-def _around(found: list) -> dict[str, None]:
+def _lifted(found: list, key: Path) -> Path:
+    """The nearest article or main around `key`, or else the lowest container around all prose without many links."""
+    prose = [path for path, tag, text, linked in found if tag in PROSE and 2 * linked < len(text)]
+    whole: Path | None = key
+    while whole and whole.depth and not _article(whole):
+        whole = whole.up
+    if whole and whole.depth:
+        within, inside = _under(prose, {whole.hash}), _under(prose, {key.hash})
+        return whole if any(w and not i for w, i in zip(within, inside, strict=True)) else key
+    below: dict[Path, int] = Counter(prose)
+    for path in sorted(_around(found), key=lambda p: -p.number):  # children come before their parents
+        if path.up and path in below:
+            below[path.up] = below.get(path.up, 0) + below[path]
+    lowest = key
+    while lowest.depth and below.get(lowest, 0) < len(prose):
+        lowest = lowest.up
+    return lowest if lowest.depth else key
+
+
+def _under(paths: list[Path], wanted: set[int]) -> list[bool]:
+    """Whether each path or one around it has a wanted hash."""
+    known: dict[Path, bool] = {}
+    out = []
+    for path in paths:
+        way = []
+        while path and path not in known:
+            way.append(path)
+            path = path.up
+        inside = known[path] if path else False
+        for p in reversed(way):
+            inside = known[p] = inside or p.depth > 0 and p.hash in wanted
+        out.append(inside)
+    return out
+
+
+def text_under(found: list, wanted: set[int]) -> str:
+    """The text of the blocks under paths of the wanted hashes."""
+    return "\n".join(b[2] for b, inside in zip(found, _under([b[0] for b in found], wanted), strict=True) if inside)
+
+
+def _around(found: list) -> set[Path]:
     """All paths around a page's blocks."""
-    return dict.fromkeys(" ".join(path[:depth]) for path in {b[0] for b in found} for depth in range(1, len(path) + 1))
-
-
-def _hash(path: str) -> int:
-    return int.from_bytes(blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    out: set[Path] = set()
+    for path, *_ in found:
+        while path and path.depth and path not in out:
+            out.add(path)
+            path = path.up
+    return out
 
 
 def host(url):
@@ -205,8 +290,11 @@ def host(url):
     return F.when(name != "", name).otherwise(F.coalesce(url, F.lit("")))
 
 
-def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
-    """`pages` (page_id, url, html) to (page_id, url, text). A path wins on a host with at least `share` of the best path's votes."""
+def extract(pages: DataFrame, share: float = 0.2, heaviest: float = 10_000.0) -> DataFrame:
+    """`pages` (page_id, url, html) to (page_id, url, text). A path wins on a host with at least `share` of the best path's votes.
+
+    A page's vote weighs as much as its container's score, but not more than `heaviest`, so that no page decides alone.
+    """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,9 +302,9 @@ def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
             for h in batch.column(3).to_pylist():
                 found = blocks(h) if h else []
                 best = best_path(found)
-                own.append(_hash(best[0]) if best else None)
-                votes.append(min(best[1], 10_000.0) if best else 0.0)
-                paths.append([_hash(p) for p in _around(found)])
+                own.append(best[0].hash if best else None)
+                votes.append(min(best[1], heaviest) if best else 0.0)
+                paths.append([p.hash for p in _around(found)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.int64()), pa.array(votes, pa.float64()), pa.array(paths, pa.list_(pa.int64()))], names=["k1", "k2", "host", "own", "votes", "paths"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +313,7 @@ def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
             for h, won in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = blocks(h) if h else []
                 best = best_path(found)
-                won = set(won or ())
-                text = text_under(found, [*(p for p in (_around(found) if won else ()) if _hash(p) in won), *(best[:1] if best else [])])
+                text = text_under(found, {*(won or ()), *([best[0].hash] if best else [])})
                 texts.append(text or "\n".join(b[2] for b in found))  # no container at all
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

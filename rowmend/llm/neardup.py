@@ -15,6 +15,7 @@ Equal vectors of a label are merged before anything else and counted at the end.
 
 Inputs: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, link with
 nothing: n_links 0, component_id their own id, kept. Vectors of different lengths never link. Null ids stay with nulls.
+Of different vectors with one id the smallest takes part (by label, length, components), the others link with nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from rowmend.llm.common import components, group_starts, save, whole_groups
 
 K, CELL, TREES, BLOCK, AUDIT = 8, 128, 4, 512, 200
-LINKED, AUDIT_MOST = 50, 20_000
+LINKED, AUDIT_MOST = 100, 20_000
 
 
 def _unit(column, width: int) -> np.ndarray:
@@ -74,10 +75,10 @@ def _near(ids: np.ndarray, x: np.ndarray, component: np.ndarray, n: int, thresho
     s = x @ x.T
     np.fill_diagonal(s, -2)
     n = min(n, len(ids) - 1)
-    label = _joined(s >= threshold - 1e-12)
+    label = _joined(s >= threshold)
     best = np.argpartition(-s, n - 1, axis=1)[:, :n]
     cos = np.take_along_axis(s, best, 1)
-    full = np.flatnonzero(cos.min(1) >= threshold - 1e-12)
+    full = np.flatnonzero(cos.min(1) >= threshold)
     outside = np.where((label[full, None] == label) | (component[full, None] == component), -2, s[full])
     beyond = np.argpartition(-outside, n - 1, axis=1)[:, :n]
     far = np.take_along_axis(outside, beyond, 1).ravel()
@@ -125,7 +126,7 @@ def _first_lists(points: DataFrame, turn: int, threshold: float) -> DataFrame:
 
 def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
     """(u, v) that links join: nothing is cut here."""
-    return pairs.where(F.isnan("cos") | (F.col("cos") >= threshold - 1e-12)).select("u", "v")
+    return pairs.where(F.isnan("cos") | (F.col("cos") >= threshold)).select("u", "v")
 
 
 def _closest(pairs: DataFrame) -> DataFrame:
@@ -205,7 +206,7 @@ def _exact(points: DataFrame, threshold: float) -> DataFrame:
         i, j = int(g.column("i")[0].as_py()), int(g.column("j")[0].as_py())
         near = np.zeros((len(ids), len(ids)), bool)
         a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        near[np.ix_(a, b)] = x[a] @ x[b].T >= threshold - 1e-12
+        near[np.ix_(a, b)] = x[a] @ x[b].T >= threshold
         near |= near.T
         np.fill_diagonal(near, False)
         label = _joined(near)
@@ -215,8 +216,8 @@ def _exact(points: DataFrame, threshold: float) -> DataFrame:
     return _grouped(dealt, ["label", "width", "i", "j"], compare, "u long, v long", ["u", "v"])
 
 
-def audit(points: DataFrame, member: DataFrame, threshold: float, rows: int = AUDIT) -> float:
-    """Mean over sampled vectors that have links of the share of them whose ends `member` (id, component_id) joins."""
+def audit(points: DataFrame, member: DataFrame, threshold: float, rows: int = AUDIT) -> tuple[float, int]:
+    """Mean over sampled vectors that have links of the share of them whose ends `member` (id, component_id) joins (1 without any); and how many have links."""
     drawn, linked, shares = 0, 0, 0.0
     while linked < LINKED and drawn < AUDIT_MOST:
         sample = points.orderBy(F.xxhash64("id"), "id").offset(drawn).limit(rows).toPandas()
@@ -225,7 +226,7 @@ def audit(points: DataFrame, member: DataFrame, threshold: float, rows: int = AU
         n, share = _found_of(sample, points, member, threshold)
         drawn, linked, shares = drawn + len(sample), linked + n, shares + share
         rows = min(4 * rows, 16 * AUDIT)
-    return shares / linked if linked else 1.0
+    return shares / linked if linked else 1.0, linked
 
 
 def _found_of(sample, points: DataFrame, member: DataFrame, threshold: float) -> tuple[int, float]:
@@ -255,13 +256,21 @@ def _found_of(sample, points: DataFrame, member: DataFrame, threshold: float) ->
     return r["n"], r["share"] or 0.0
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, turns: int = 2, most: int = 8) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding, label)."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.99, turns: int = 2, most: int = 8, report: dict | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding, label).
+
+    `report` gets the last audit: its recall, how many sampled vectors had links, the turns, and whether the exact
+    comparison took over.
+    """
+    report = {} if report is None else report
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     sound = sound & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.coalesce(sound, F.lit(False)).alias("sound"))
     merged = rows.where("sound").groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     points = save(merged.select("label", F.size("x").alias("width"), "id", "copies", "x"))
+    if not points.groupBy("id").count().where("count > 1").isEmpty():
+        first = points.groupBy("id").agg(F.min(F.struct("label", "width", "x", "copies")).alias("p"))
+        points = save(first.select("p.label", "p.width", "id", "p.copies", "p.x"))
     if points.isEmpty():
         out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return out.withColumn("kept", F.lit(True))
@@ -280,11 +289,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         edges = member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(fresh)
         member = _members(edges)
         turn += 1
-        enough = audit(points, member, threshold) >= recall
+        found_share, linked = audit(points, member, threshold)
+        enough = found_share >= recall
+        report.update(recall=found_share, linked=linked, turns=turn, exact=False)
         if enough and not grew:
             break
         if not enough and turn >= most:
             member = _members(_exact(points, threshold))
+            report.update(exact=True)
             break
         pairs = lists.drop("outside")
         if not enough:
@@ -293,7 +305,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
             pairs = pairs.unionByName(found)
         lists = save(_shortest(pairs, member))
     links = save(_counted(points, member, threshold))
-    copy_of = rows.where("sound").join(points.select("label", "x", "id", "copies"), ["label", "x"]).select("vec_id", "id", "copies")
-    out = rows.select("vec_id").join(copy_of.dropDuplicates(["vec_id"]), "vec_id", "left").join(member, "id", "left").join(links, "id", "left")
+    copies = rows.where("sound").join(points.select("label", "x", "id", "copies"), ["label", "x"], "left").select("vec_id", "id", "copies")
+    alone = rows.where(~F.col("sound")).select("vec_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("copies"))
+    out = copies.unionByName(alone).join(member, "id", "left").join(links, "id", "left")
     out = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("component_id", "id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -9,7 +9,9 @@ The lexicon is learnt from a bounded sample of labelled rows (`FIT_ROWS`, by has
 share of toxic texts have and clean ones hardly ever, chosen so that each entry explains toxic texts that the entries
 before it don't. Two features, the weight found and the weight found for each word, go to a logistic score.
 
-Inputs: null and empty text have weight 0. With no labelled rows the lexicon is empty and scores are 0.5 or below.
+Inputs: null and empty text have weight 0. With no labelled rows the lexicon is empty and scores are 0.5 or below. Of
+several labels of one id a toxic one counts; rows with one id are scored each by its own text. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,13 +90,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: int = 5
     good_of = dict(zip(found["term"], found["good"], strict=True))
     holds: dict[str, set[int]] = defaultdict(set)
     beside: dict[str, set[str]] = defaultdict(set)  # the words before an entry: few where toxic texts are copies
-    for i, row in enumerate(known.where("toxic = 1").toPandas()["text"]):  # part of the bounded sample
-        words = folded(row).split()
-        for before, word in zip(["", *words], words, strict=False):
-            for t in candidates({word}):
-                if t in weight:
-                    holds[t].add(i)
-                    beside[t].add(before)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_: set[tuple[int, str, str]] = set()
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = folded(text).split()
+                rows_.update((i, t, before) for before, word in zip(["", *w], w, strict=False) for t in candidates({word}) if t in weight)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True) if rows_ else [[]] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["i", "term", "before"])
+
+    numbered = known.where("toxic = 1").select(F.monotonically_increasing_id().alias("i"), "text")
+    for i, t, before in numbered.mapInArrow(hold, "i long, term string, before string").toPandas().itertuples(index=False):  # of the bounded sample, telling terms alone
+        holds[t].add(i)
+        beside[t].add(before)
     out = Lexicon()
     left = set().union(*holds.values()) if holds else set()
     while left:
@@ -110,15 +119,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: int = 5
         nested = any(t.startswith(x) or x.startswith(t) for x in out.weights)
         if common and len(beside[t]) >= 0.4 * len(holds[t]) and not nested:
             out.weights[t] = weight[t]
-    for start in [t for t in out.weights if not t.endswith(" ")]:
-        rows_ = counted.where(F.col("term").startswith(start) & F.col("term").endswith(" ") & (F.col("good") >= 2) & (F.col("bad") == 0)).limit(1000)
-        out.exceptions += sorted(r["term"] for r in rows_.collect())
+    out.exceptions = _exceptions(known, counted, out)
     scaled = known.select("text", "toxic").mapInArrow(_features(out), "toxic int, x1 double, x2 double").toPandas()
     out.intercept, out.slopes = _logistic(scaled[["x1", "x2"]].to_numpy(), scaled["toxic"].to_numpy())
     delete_saved(known, counted)
     return out
 
 
+def _exceptions(known: DataFrame, counted: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Words that begin with an entry, and entries' words with the word before them, that clean texts have and toxic ones don't."""
+    by_size: dict[int, list[str]] = defaultdict(list)
+    for t in lexicon.weights:
+        by_size[len(t)].append(t)
+    starts = reduce(lambda a, b: a | b, (F.substring("term", 1, n).isin(terms) for n, terms in by_size.items()), F.lit(False))
+    words = counted.where(starts & F.col("term").endswith(" ") & (F.col("good") >= 2) & (F.col("bad") == 0)).select("term")
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = folded(text).split()
+                found += {(f" {a} {b} ", toxic) for a, b in zip(w, w[1:], strict=False) if not candidates({b}).isdisjoint(lexicon.weights)}
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([int(t == 1) for _, t in found], pa.int64())], names=["term", "toxic"])
+
+    beside = known.select("text", "toxic").mapInArrow(phrases, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    rows = words.unionByName(beside.where("bad = 0 and n >= 3").select("term")).collect()  # of the bounded sample
+    return sorted({r["term"] for r in rows} - lexicon.weights.keys())
+
+
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)

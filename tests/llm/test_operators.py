@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -288,6 +289,15 @@ def test_toxicity(spark):
     lexicon.exceptions.append(" zorkish thing ")
     m = toxicity.Matcher(lexicon)
     assert m.features("a zorkish thing")[0] == 0 and m.features("a zorkish man")[0] > 0
+    # Against a plain scan for each pattern.
+    lexicon = toxicity.Lexicon({" zork": 2.0, " bad ": 1.0, "aabb": 0.5}, [" zorkish thing ", " not bad "], -1.0, (1.0, 0.1))
+    m, words = toxicity.Matcher(lexicon), ["zork", "zorkish", "thing", "bad", "not", "aabb", "xaabbaabb", "B4D", "ok"]
+    for _ in range(300):
+        text = toxicity.folded(" ".join(rng.choice(words, int(rng.integers(1, 9)))))
+        spans = {t: [(i, i + len(t)) for i in range(len(text)) if text.startswith(t, i)] for t in [*lexicon.weights, *lexicon.exceptions]}
+        barred = [x for t in lexicon.exceptions for x in spans[t]]
+        total = sum(w for t, w in lexicon.weights.items() for a, b in spans[t] if not any(c <= a and b <= d for c, d in barred))
+        assert math.isclose(m.features(text)[0], math.log1p(total))
     empty = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic").limit(0))
     assert toxicity.score(df, empty).where("score > 0.5").isEmpty()
 
@@ -330,6 +340,18 @@ def test_html_words_bar_no_article():
     assert read(f"<article>{story}</article>{comments}") == ["Story.", "More of the story."]
 
 
+def test_html_deep_nesting_is_linear():
+    def took(n):
+        page = "<div class='widget'>x" * n + "<p>Story.</p>"
+        start = time.process_time()
+        found = html.blocks(page)
+        assert found and html.text_under(found, {html.best_path(found)[0].hash})
+        return time.process_time() - start
+
+    took(100)
+    assert took(20_000) < 25 * took(2_000) + 0.5
+
+
 def test_html_paths_stay_with_their_page(spark, monkeypatch):
     rows = [(i, "http://h.example/", f"<body><div class='post tag-{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8]}'><p>Text {i}.</p></div></body>") for i in range(64)]
     seen = spark.sparkContext.accumulator(0)
@@ -445,7 +467,7 @@ def test_near_duplicates_saturated_lists(spark):
 
 def audited(spark, x, joined):
     points = spark.createDataFrame([(0, x.shape[1], i, 1, [float(v) for v in r]) for i, r in enumerate(x)], "label long, width int, id long, copies long, x array<double>")
-    return neardup.audit(points.repartition(3), spark.createDataFrame(joined, "id long, component_id long"), 0.93)
+    return neardup.audit(points.repartition(3), spark.createDataFrame(joined, "id long, component_id long"), 0.93)[0]
 
 
 def test_audit_sees_small_groups(spark):
