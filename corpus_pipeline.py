@@ -15,7 +15,7 @@ from rowmend.llm import jaccard, langid, quality
 from rowmend.llm.common import save, small
 from rowmend.llm.queries import language_model, packed, quality_target, table
 
-#: No stage but the joins of equal columns could be put in SQL; tests compare small fixtures with brute force.
+#: SQL can't express the stages; tests/llm/test_queries.py runs each on a small fixture and checks what it keeps.
 ORACLE_SQL = None
 
 
@@ -32,10 +32,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """Keep the document with the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard 0.8 or more.
+
+    Of rows with one doc_id and text one stays; rows without a doc_id stay.
+    """
     groups = jaccard.jaccard_components(docs, words=5, num=80, den=100)
     dropped = save(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(small(dropped), "doc_id", "left_anti")
+    repeated = save(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        again = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(small(repeated), "doc_id", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
