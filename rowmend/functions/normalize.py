@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Date formats; the longest of each kind come first, as the first that parses the whole text wins.
 DATE_FORMATS = ("yyyy-M-d HH:mm:ss.SSSSSS", "yyyy-M-d HH:mm:ss", "yyyy-M-d", "d-MMM-yyyy HH:mm:ss", "d-MMM-yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy")
 TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmend.functions.digest import digest, row_text
-from rowmend.functions.normalize import normalize
+from rowmend.functions.normalize import decimal_text, normalize
 from rowmend.functions.types import common_type
 from rowmend.spec import TableSpec
 
@@ -68,6 +68,10 @@ def align(source: DataFrame, target: DataFrame, spec: TableSpec) -> Matched:
         other = find(target, c)
         a, b = source.schema[c].dataType, target.schema[other].dataType
         types[c] = common_type(a, b) or T.StringType()
+        if T.StringType() == types[c] and all(isinstance(x, T.NumericType) for x in (a, b)):  # no decimal holds both: plain digits
+            left.append(decimal_text(F.col(f"`{c}`")).alias(c))
+            right.append(decimal_text(F.col(f"`{other}`")).alias(c))
+            continue
         left.append(F.col(f"`{c}`").cast(types[c]).alias(c))
         right.append(F.col(f"`{other}`").cast(types[c]).alias(c))
     made = Matched(source.select(*left), target.select(*right), keys, values, types)
@@ -83,6 +87,8 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def unique(df: DataFrame, keys: list[str], policy: str) -> DataFrame:
     """Rows with one row a key, by policy; columns of `df` are the keys, values and row_hash."""
+    if policy == "unique":
+        return df
     if policy == "error":
         twice = duplicate_keys(df, keys).limit(1).collect()
         if twice:

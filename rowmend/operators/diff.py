@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmend.operators.columns import Matched, align
+from rowmend.operators.store import once, small
 from rowmend.spec import TableSpec
 
 
@@ -62,13 +63,16 @@ def updates(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def thin_diff(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
-    """`diff` for wide rows: joins keys and digests only, then fetches the rows of the differing keys by semi joins."""
+    """`diff` for wide rows: joins keys and digests only, then fetches the rows of the differing keys by semi joins.
+
+    The differing keys are computed once; few of them are broadcast, so that the wide sides aren't shuffled.
+    """
     m = align(source, target, spec)
     thin = Matched(m.source.select(*m.keys, "row_hash"), m.target.select(*m.keys, "row_hash"), m.keys, [], m.types)
-    found = classify(thin).where("op <> 'MATCH'").drop("source_data", "target_data")
-    out = found.alias("s")
+    found = once(classify(thin).where("op <> 'MATCH'").drop("source_data", "target_data"))
+    touched, out = small(found.select(*m.keys)), found.alias("s")
     for side, df, name in (("x", m.source, "source_data"), ("y", m.target, "target_data")):
-        rows = df.alias("s").join(found.select(*m.keys).alias("t"), same_key(m.keys), "left_semi")
+        rows = df.alias("s").join(touched.alias("t"), same_key(m.keys), "left_semi")
         rows = rows.select(*m.keys, F.struct(*[F.col(f"`{c}`") for c in [*m.keys, *m.values]]).alias(name)).alias(side)
         out = out.join(rows, same_key(m.keys, "s", side), "left").select("s.*", f"{side}.{name}").alias("s")
     return out.select("op", *m.keys, "source_hash", "target_hash", "source_data", "target_data")
@@ -107,8 +111,9 @@ def reverse(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """`table` after the change set: rows of deleted and updated keys go, inserted and updated rows come."""
-    gone = changes.where("op <> 'INSERT'").select(*keys).alias("t")
+    """`table` after the change set, which is computed once: rows of deleted and updated keys go, inserted and updated rows come."""
+    changes = once(changes)
+    gone = small(changes.where("op <> 'INSERT'").select(*keys)).alias("t")
     kept = table.alias("s").join(gone, same_key(keys), "left_anti")
     new = changes.where("op <> 'DELETE'").select("source_data.*")
     return kept.select(*new.columns).unionByName(new)

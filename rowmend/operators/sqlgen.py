@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,5 +42,15 @@ def statements(changes: DataFrame, spec: TableSpec, side: str = "target", dialec
     return changes.select(F.lit(spec.name).alias("table_name"), F.lit(side).alias("side"), rank.alias("op_rank"), "op", *keys, made.alias("statement"))
 
 
+def script(changes: dict[str, DataFrame], specs: dict[str, TableSpec], side: str = "target", dialect: str = "oracle") -> DataFrame:
+    """(table_name, side, op_rank, op, primary_key as JSON, statement) of several tables; a table without changes adds nothing."""
+    parts = []
+    for name, df in changes.items():
+        made = statements(df, specs[name], side, dialect)
+        keys = [c for c in made.columns if c not in ("table_name", "side", "op_rank", "op", "statement")]
+        parts.append(made.select("table_name", "side", "op_rank", "op", F.to_json(F.struct(*keys)).alias("primary_key"), "statement"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ordered(made: DataFrame, keys: list[str]) -> DataFrame:
     return made.orderBy("table_name", "side", "op_rank", *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowmend.functions.normalize import typed_equal
 from rowmend.operators.checks import strings_fit
 from rowmend.operators.diff import same_key
+from rowmend.operators.store import once, small
 
 # Verdicts.
 ABSENT, LENGTH, PRESENT = "Primary key does not exist in target", "Data validation failed", "Primary key already exists in target"
@@ -20,12 +21,14 @@ EXISTS = "Row exists in target"
 def verify(changes: DataFrame, current: DataFrame, keys: list[str], tags: dict[str, str] | None = None) -> DataFrame:
     """`changes` with verification_status, verification_reason and current_data (updates only).
 
-    The current rows of the affected keys are found by a semi join that streams the large side, then joined to the changes.
+    The change set is computed once. The current rows of its keys are found by a semi join (a few keys are broadcast, so
+    that the large side is only scanned), then joined to the changes.
     """
+    changes = once(changes)
     tags = tags or {}
     schema = changes.schema["target_data"].dataType
     columns = [f.name for f in schema]
-    touched = current.alias("s").join(changes.select(*keys).alias("t"), same_key(keys), "left_semi")
+    touched = current.alias("s").join(small(changes.select(*keys)).alias("t"), same_key(keys), "left_semi")
     now = touched.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("current_data"), F.lit(True).alias("there")).alias("t")
     both = changes.alias("s").join(now, same_key(keys), "left")
     there = F.col("t.there").isNotNull()

@@ -10,11 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowmend.functions.normalize import clob_text, date_string_text, json_text
+from rowmend.functions.literals import literal
+from rowmend.functions.normalize import base64_text, clob_text, date_string_text, decimal_text, flag_text, json_text
 from rowmend.operators import audit, checks, diff, paging, report, sqlgen, stats, verify
 from rowmend.operators.columns import align
 from rowmend.plans import run
+from rowmend.sources.io import read_query
 from rowmend.spec import TableSpec
 
 #: table: key, other columns with kinds (i integer, f float, s text, t timestamp), number changed, text set null, text extended.
@@ -108,6 +111,8 @@ SELECT source_row_count, target_row_count, insert_count, update_count, delete_co
 
 
 def _literal_sql(c: str, kind: str) -> str:
+    if kind == "t":
+        return f"coalesce('TIMESTAMP ' || chr(39) || strftime({c}, '%Y-%m-%d %H:%M:%S.%f') || chr(39), 'NULL')"
     return f"coalesce({c if kind != 's' else f'chr(39) || replace({c}, chr(39), chr(39) || chr(39)) || chr(39)'}, 'NULL')" if kind == "s" else f"coalesce(CAST({c} AS VARCHAR), 'NULL')"
 
 
@@ -195,7 +200,7 @@ _of_table("reverse_changes", ("customer",), lambda s, d, n: diff.apply_changes(l
 _of_table("verify_operations", ("orders", "customer"), lambda s, d, n: verify.verify(changes(s, d, n), drifted(load(s, d, n), n, later=True), [TABLES[n][0]]).select("op", TABLES[n][0], "verification_status", "verification_reason"), lambda n: f"{_verified_sql(n)} SELECT op, {TABLES[n][0]}, verification_status, verification_reason FROM w")
 _of_table("verification_stats", ("orders",), lambda s, d, n: verify.verification_statistics(verify.verify(changes(s, d, n), drifted(load(s, d, n), n, later=True), [TABLES[n][0]])), lambda n: f"{_verified_sql(n)} SELECT coalesce(op, 'TOTAL') AS op, count(*) AS original, count(*) FILTER (verification_status = 'VALID') AS valid, count(*) FILTER (verification_status <> 'VALID') AS invalid, round(100.0 * CAST(count(*) FILTER (verification_status = 'VALID') AS DOUBLE) / count(*), 2) AS valid_percentage FROM w GROUP BY ROLLUP (op)")
 _of_table("verified_sync_sql", ("supplier",), lambda s, d, n: run.verified_statements(changes(s, d, n), drifted(load(s, d, n), n, later=True), spec(n)).select("op", TABLES[n][0]), lambda n: f"{_verified_sql(n)} SELECT op, {TABLES[n][0]} FROM w WHERE verification_status = 'VALID'")
-_of_table("sync_sql_target", ("nation", "supplier"), lambda s, d, n: sqlgen.statements(changes(s, d, n), spec(n), "target"), lambda n: _sync_sql(n, "target"))
+_of_table("sync_sql_target", ("nation", "supplier", "orders"), lambda s, d, n: sqlgen.statements(changes(s, d, n), spec(n), "target"), lambda n: _sync_sql(n, "target"))
 _of_table("sync_sql_source", ("nation", "supplier"), lambda s, d, n: sqlgen.statements(changes(s, d, n), spec(n), "source"), lambda n: _sync_sql(n, "source"))
 _of_table("statement_counts", ("customer",), lambda s, d, n: stats.statement_counts(sqlgen.statements(changes(s, d, n), spec(n))), lambda n: f"{_both_sql(n)} SELECT '{n}' AS table_name, 'target' AS side, op, count(*) AS statements FROM j WHERE op <> 'MATCH' GROUP BY op")
 _of_table("sample_differences", ("orders",), lambda s, d, n: report.samples(changes(s, d, n), [TABLES[n][0]]), lambda n: f"{_both_sql(n)} SELECT op, CAST(r AS INTEGER) AS sample, k AS {TABLES[n][0]}, substr(sh, 1, 16) AS source_hash, substr(th, 1, 16) AS target_hash FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY k) AS r FROM j WHERE op <> 'MATCH') WHERE r <= 5")
@@ -255,3 +260,36 @@ add("foreign_key_orphans", f"WITH c AS ({_drift_sql('customer')}) SELECT o_order
 add("unique_violations", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")(lambda s, d: checks.duplicate_keys(load(s, d, "orders"), ["o_custkey"]))
 add("type_fit", "SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS x FROM part) WHERE x IS NOT NULL AND TRY_CAST(x AS INTEGER) IS NULL")(lambda s, d: checks.misfits(load(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string")).alias("x")), "x", "int").select("p_partkey"))
 add("masked_columns", "SELECT c_custkey, sha256(c_name) AS c_name FROM customer")(lambda s, d: checks.masked(load(s, d, "customer"), ["c_name"], digest=True).select("c_custkey", "c_name"))
+
+# ---------------------------------------------------------------- reports, run events, literals and forms of single columns
+
+
+def _verified(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return verify.verify(changes(spark, d, name), drifted(load(spark, d, name), name, later=True), [TABLES[name][0]]).select(F.lit(name).alias("table_name"), "verification_status")
+
+
+def _sample_values_sql(name: str, columns: int = 10) -> str:
+    key, kinds = TABLES[name][0], {TABLES[name][0]: "i", **dict(sorted(TABLES[name][1].items()))}
+    parts = [f"SELECT op, r, k, '{c}' AS \"column\", substr(CASE WHEN op = 'DELETE' THEN {_form_sql(f't.{c}', kind)} ELSE {_form_sql(f's.{c}', kind)} END, 1, 50) AS value FROM x LEFT JOIN s ON s.{key} = k LEFT JOIN t ON t.{key} = k" for c, kind in list(kinds.items())[:columns]]
+    return f"{_both_sql(name)}, x AS (SELECT * FROM (SELECT op, k, row_number() OVER (PARTITION BY op ORDER BY k) AS r FROM j WHERE op <> 'MATCH') WHERE r <= 5) SELECT op, CAST(r AS INTEGER) AS sample, k AS {key}, \"column\", value FROM ({' UNION ALL '.join(parts)})"
+
+
+_of_table("sample_values", ("customer", "orders"), lambda s, d, n: report.sample_values(changes(s, d, n), [TABLES[n][0]]), _sample_values_sql)
+_of_table("changed_columns_first", ("orders",), lambda s, d, n: report.changed_columns(changes(s, d, n), [TABLES[n][0]], most=1), lambda n: f"SELECT {TABLES[n][0]}, column_name, old_value, new_value FROM (SELECT *, row_number() OVER (PARTITION BY {TABLES[n][0]} ORDER BY column_name) AS r FROM ({_changed_sql(n)})) WHERE r = 1")
+add("has_differences", f"SELECT table_name, total_differences > 0 AS has_differences FROM ({_SUMMARY_SQL})")(lambda s, d: stats.has_differences(_summaries(s, d)).select("table_name", "has_differences"))
+add("verification_rollup", "SELECT count(DISTINCT table_name) AS tables_verified, CAST(sum(n) AS BIGINT) AS total_valid FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM ({_verified_sql(n)} SELECT * FROM w WHERE verification_status = 'VALID')) AS n" for n in ("orders", "customer")) + ")")(lambda s, d: verify.verification_rollup(_verified(s, d, "orders").unionByName(_verified(s, d, "customer"))))
+add("sync_script", " UNION ALL ".join(f"SELECT table_name, side, op_rank, op, '{{\"{TABLES[n][0]}\":' || {TABLES[n][0]} || '}}' AS primary_key, statement FROM ({_sync_sql(n, 'source')})" for n in ("nation", "supplier")))(lambda s, d: sqlgen.script({n: changes(s, d, n) for n in ("nation", "supplier")} | {"region": diff.diff(r := load(s, d, "region"), r, TableSpec("region", ("r_regionkey",)))}, {n: spec(n) for n in ("nation", "supplier")} | {"region": TableSpec("region", ("r_regionkey",))}, "source"))
+add("run_events", f"SELECT event_type, message FROM (SELECT 'SESSION_START' AS event_type, 'tables: ' || count(*) AS message FROM ({_SUMMARY_SQL}) UNION ALL SELECT 'TABLE_COMPLETE', table_name || ' success' FROM ({_SUMMARY_SQL}) UNION ALL SELECT 'SESSION_END', 'failed: 0')")(lambda s, d: run.run_events(_summaries(s, d), "run").select("event_type", "message"))
+_REPORTED = ("customer", "orders")
+add("all_reports", "SELECT name, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT 'samples' AS name, (SELECT sum(least(c, 5)) FROM ({_both_sql(n)} SELECT count(*) AS c FROM j WHERE op <> 'MATCH' GROUP BY op)) AS n UNION ALL SELECT 'sample_values', (SELECT count(*) FROM ({_sample_values_sql(n)})) UNION ALL SELECT 'changed_columns', (SELECT count(*) FROM ({_changed_sql(n)})) UNION ALL SELECT 'summary_csv', 1 UNION ALL SELECT 'summary_json', 1" for n in _REPORTED) + ") GROUP BY name UNION ALL SELECT unnest(['run', 'totals']), 1")(lambda s, d: run.union_summaries([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in run.reports({n: changes(s, d, n) for n in _REPORTED}, run.union_summaries([run.compare_table(*sides(s, d, n), spec(n)) for n in _REPORTED]), {n: [TABLES[n][0]] for n in _REPORTED}, "run").items()]))
+add("query_rows", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey")(lambda s, d: read_query(s, f"SELECT o_custkey, count(*) AS n FROM parquet.`{d}/orders.parquet` WHERE o_totalprice > :least GROUP BY o_custkey", args={"least": 100000}))
+add("decimal_normal_form", r"SELECT p_partkey, regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(20,4)) AS VARCHAR), '\.?0+$', '') AS x FROM part")(lambda s, d: load(s, d, "part").select("p_partkey", decimal_text(F.col("p_retailprice").cast("decimal(20,4)")).alias("x")))
+_FLAGS = ("YES", "n", "1", "0", "True", "perhaps")
+add("flag_normal_form", "SELECT c_custkey, CASE WHEN c_custkey % 7 IN (0, 2, 4) THEN 'true' WHEN c_custkey % 7 < 6 THEN 'false' END AS x FROM customer")(lambda s, d: load(s, d, "customer").select("c_custkey", flag_text(F.coalesce(*[F.when(F.col("c_custkey") % 7 == i, v) for i, v in enumerate(_FLAGS)])).alias("x")))
+add("base64_normal_form", "SELECT c_custkey, base64(encode(c_name)) AS x FROM customer")(lambda s, d: load(s, d, "customer").select("c_custkey", base64_text(F.col("c_name").cast("binary")).alias("x")))
+add("literals", "SELECT o_orderkey, 'DATE ' || chr(39) || strftime(o_orderdate, '%Y-%m-%d') || chr(39) AS day, 'HEXTORAW(' || chr(39) || hex(encode(o_orderpriority)) || chr(39) || ')' AS bytes, CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '0' END AS flag, 'N' || chr(39) || o_orderstatus || chr(39) AS status, chr(39) || base64(encode(o_orderstatus)) || chr(39) AS other_bytes FROM orders")(lambda s, d: load(s, d, "orders").withColumns({"b": F.col("o_orderpriority").cast("binary"), "c": F.col("o_orderstatus").cast("binary"), "day_": F.to_date("o_orderdate"), "even": F.col("o_orderkey") % 2 == 0}).select("o_orderkey", *[literal(F.col(c), t, tag, dialect).alias(out) for c, t, tag, dialect, out in (("day_", T.DateType(), None, "oracle", "day"), ("b", T.BinaryType(), None, "oracle", "bytes"), ("even", T.BooleanType(), None, "oracle", "flag"), ("o_orderstatus", T.StringType(), "nvarchar", "oracle", "status"), ("c", T.BinaryType(), None, "ansi", "other_bytes"))]))
+add("text_lengths", "SELECT doc_id, coalesce(length(text) <= 4000, TRUE) AS fits FROM documents")(lambda s, d: (x := load(s, d, "documents").select("doc_id", F.struct("text", "lang").alias("row"))).select("doc_id", checks.strings_fit("row", x.schema["row"].dataType).alias("fits")))
+add("audit_progress", "SELECT 's' || (user_id % 10) AS session_id, ts AS timestamp, round(100.0 * CAST(event_id % 9 AS DOUBLE) / 8, 2) AS percentage FROM events WHERE event_type = 'view'")(lambda s, d: audit.progress(load(s, d, "events").where("event_type = 'view'").select(F.concat(F.lit("s"), F.col("user_id") % 10).alias("session_id"), F.col("ts").alias("timestamp"), F.lit("BATCH_PROGRESS").alias("event_type"), F.to_json(F.struct((F.col("event_id") % 9).alias("batch_number"), F.lit(8).alias("total_batches"))).alias("details"))))
+add("audit_retained", f"{_E} SELECT session_id, event_type, message FROM e WHERE timestamp >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAY")(lambda s, d: audit.retained(audit_events(s, d), 10, "2024-01-20 00:00:00").select("session_id", "event_type", "message"))
+_VENDOR = {"VARCHAR2(30)": ("varchar", "character"), "Number(10, 2)": ("numeric", "numeric"), "TIMESTAMP(6) WITH TIME ZONE": ("timestamp_tz", "datetime"), "long raw": ("long_binary", "binary"), "INTERVAL DAY(2) TO SECOND(6)": ("interval_ds", "interval"), "XMLType": ("xml", "special"), "geometry": ("unknown", "unknown")}
+add("vendor_types", "SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_VENDOR.values())) + " END AS standard_type, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_VENDOR.values())) + " END AS category FROM part")(lambda s, d: checks.map_vendor_types(load(s, d, "part").select("p_partkey", F.coalesce(*[F.when(F.col("p_partkey") % 7 == i, v) for i, v in enumerate(_VENDOR)]).alias("data_type"))).select("p_partkey", "standard_type", "category"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -40,6 +41,12 @@ def primary_keys(constraints: DataFrame, columns: DataFrame) -> DataFrame:
     return both.select("owner", columns["table_name"], "column_name", "position").orderBy("owner", "table_name", "position")
 
 
+def metadata(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """Columns of a dictionary view (owner, table_name, column_name) with key_position, null where not in the primary key."""
+    on = ["owner", "table_name", "column_name"]
+    return columns.join(keys.select(*on, F.col("position").alias("key_position")), on, "left")
+
+
 def write_scripts(statements: DataFrame, path: str, keys: list[str]) -> None:
     """One folder a table and side; statements in order of deletes, inserts, updates and keys."""
     ready = statements.repartitionByRange("table_name", "side", "op_rank", *keys).sortWithinPartitions("table_name", "side", "op_rank", *keys)
@@ -66,18 +73,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_to_database(statements: DataFrame, connect: Callable[[], Any], batch: int = 1000) -> None:
-    """Run statements through a DB-API connection of each task, one transaction a partition.
+    """Run statements through a DB-API connection of each task, in transactions of at most `batch` statements.
 
-    Not atomic over partitions: load a staging table and merge once where that is needed.
+    A statement that fails rolls its batch back and stops the job; batches before it stay. Not atomic over partitions:
+    load a staging table and merge once where that is needed.
     """
 
     def run(rows: Iterator[Row]) -> None:
         connection = connect()
         try:
             cursor = connection.cursor()
-            for row in rows:
-                cursor.execute(row["statement"].rstrip(";"))
-            connection.commit()
+            while part := list(islice(rows, batch)):
+                for row in part:
+                    cursor.execute(row["statement"].rstrip(";"))
+                connection.commit()
         except BaseException:
             connection.rollback()
             raise

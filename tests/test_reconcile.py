@@ -138,3 +138,62 @@ def test_stream_counts_like_batch(spark, tmp_path):
     q = live.windowed_counts(live.event_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("live_counts").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select sum(n) from live_counts").first()[0] == 30
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("LocalTableScan")
+
+
+def test_change_sets_are_computed_once(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "id % 7 as v", "cast(id as string) as s").write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    b = a.where("id % 50 <> 3").withColumn("v", F.when(F.col("id") % 90 == 5, F.col("v") + 1).otherwise(F.col("v")))
+    spec = TableSpec("a", ("id",), duplicates="unique")
+    changed = diff.diff(a, b, spec)
+    assert scans(changed)[0] == 2
+    verified = verify.verify(changed, b, ["id"])
+    assert scans(verified)[0] == 1  # the current side alone: the change set is kept
+    assert verified.where("verification_status = 'INVALID'").isEmpty() and verified.count() == changed.count()
+    applied = diff.apply_changes(b, changed, ["id"])
+    assert scans(applied)[0] == 1 and applied.select(*a.columns).exceptAll(a).isEmpty() and applied.count() == 2000
+    thin = diff.thin_diff(a, b, spec)
+    assert scans(thin)[0] == 2 and thin.select(*changed.columns).exceptAll(changed).isEmpty()
+
+
+def test_decimals_without_a_common_type(spark):
+    a = spark.sql("select 1 as k, cast('99999999999999999999999999999999999999' as decimal(38,0)) as v union all select 2, cast(5 as decimal(38,0))")
+    b = spark.sql("select 1 as k, cast('1.5' as decimal(38,10)) as v union all select 2, cast(5 as decimal(38,10))")
+    got = {r.k: r.op for r in diff.diff(a, b, TableSpec("d", ("k",))).collect()}
+    assert got == {1: "UPDATE"}
+
+
+def test_statements_go_in_batches(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "t.db")
+    with sqlite3.connect(path) as c:
+        c.execute("create table t (k integer primary key)")
+    rows = [(f"insert into t values ({i});",) for i in range(10)] + [("insert into t values (3);",)]
+    made = spark.createDataFrame(rows, "statement string").coalesce(1)
+    io.apply_to_database(made.limit(10), lambda: sqlite3.connect(path), 4)
+    with sqlite3.connect(path) as c:
+        assert c.execute("select count(*) from t").fetchone() == (10,)
+        c.execute("delete from t")
+    with pytest.raises(Exception):  # noqa: B017, PT011  the third batch fails, the two before it stay
+        io.apply_to_database(made, lambda: sqlite3.connect(path), 4)
+    with sqlite3.connect(path) as c:
+        assert c.execute("select count(*) from t").fetchone() == (8,)
+
+
+def test_reports_are_written(spark, tmp_path):
+    a = spark.range(30).selectExpr("id as k", "id as v")
+    b = a.where("k <> 4").withColumn("v", F.when(F.col("k") == 7, 0).otherwise(F.col("v")))
+    spec = TableSpec("a", ("k",))
+    summaries = run.compare_table(a, b, spec)
+    run.write_reports(run.reports({"a": diff.diff(a, b, spec)}, summaries, {"a": ["k"]}, "r1"), str(tmp_path))
+    assert len(spark.read.option("header", True).csv(f"{tmp_path}/summary_csv").columns) == 13
+    assert spark.read.json(f"{tmp_path}/changed_columns").first()["column_name"] == "v"
+    assert [r.event_type for r in run.run_events(summaries, "r1").collect()] == ["SESSION_START", "TABLE_COMPLETE", "SESSION_END"]
+    io.append_events(run.run_events(summaries, "r1"), f"{tmp_path}/events")
+    assert io.read_events(spark, f"{tmp_path}/events").count() == 3
