@@ -271,13 +271,16 @@ def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame
     cells = F.slice("cells", 1, first) if first else F.col("cells")
     known = points.select("doc_id", cells.alias("cells")).join(small(joined), F.col("doc_id") == F.col("id"), "left")
     in_cells = known.select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), F.explode("cells").alias("cell"))
-    marks = [F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
-    shared = in_cells.groupBy("cell").agg(*marks).where("low < high").groupBy("size", "low", "high", "mark").agg(F.min("cell").alias("cell"))
-    shared = save(shared.select("cell", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
-    member = in_cells.drop("component").join(small(shared), "cell").select("cell", "chunks", F.col("doc_id").alias("id"))
+    marks = [F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
+    shared = in_cells.groupBy("cell").agg(*marks).where("low < high").groupBy("size", "least", "most", "mark").agg(F.min("cell").alias("cell"))
+    shared = save(shared.select("cell", "size", "least", "most"))
+    # Most shared cells have two members, which the aggregate names; only larger ones are looked up.
+    twos = shared.where("size = 2").select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode(F.array("least", "most")).alias("id"))
+    larger = shared.where("size > 2").select("cell", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    member = in_cells.drop("component").join(small(larger), "cell").select("cell", "chunks", F.col("doc_id").alias("id"))
     mine = F.pmod(F.xxhash64("cell", "id"), F.col("chunks")).cast("int")
     dealt = member.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("cell", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id")
+    dealt = dealt.select("cell", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id").unionByName(twos)
     out = save(dealt.join(points.select(F.col("doc_id").alias("id"), "n", "point"), "id"))
     delete_saved(shared)
     return out
@@ -301,11 +304,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     sets: list[DataFrame] = []
     for first in (FIRST, None):
         dealt = _dealt(reps, joined, first)
-        again, asked, turn = None, [], 0
+        again, held, asked, turn = None, None, [], 0
         while True:
             todo = dealt.withColumn("cells", F.lit(None).cast("array<long>"))
             if again is not None:
-                todo = dealt.join(again, ["cell", "i", "j"], "left_semi").join(reps.select(F.col("doc_id").alias("id"), "cells"), "id")
+                if held is None:  # the dealt cells of each set: a pair that shares others is in one component
+                    held = save(dealt.groupBy("id").agg(F.collect_set("cell").alias("cells")))
+                todo = dealt.join(small(again), ["cell", "i", "j"], "left_semi").join(held, "id")
             now = todo.join(small(joined), "id", "left").select("cell", "i", "j", F.lit(0).alias("kind"), "id", "n", "point", "cells", F.coalesce("component_id", "id").alias("component"), F.lit(0).cast("long").alias("other"))
             if asked:
                 failed = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, checked).where("not ok"), ["a", "b"]).join(again, ["cell", "i", "j"], "left_semi")
@@ -318,20 +323,22 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             if checked:
                 pairs = pairs.join(reduce(DataFrame.unionByName, checked).select("a", "b"), ["a", "b"], "left_anti")
             pairs = save(pairs)
-            involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            involved = ends
             if sets:
                 involved = involved.join(reduce(DataFrame.unionByName, sets).select("doc_id"), "doc_id", "left_anti")
             involved = save(involved)
             if not involved.isEmpty():
                 sets.append(save(_sets(texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)))
             if not pairs.isEmpty():
-                checked.append(save(_checked(pairs, reduce(DataFrame.unionByName, sets), num, den)))
+                compared = reduce(DataFrame.unionByName, sets).join(small(ends), "doc_id", "left_semi")
+                checked.append(save(_checked(pairs, compared, num, den)))
                 new = checked[-1].where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
                 if not new.isEmpty():
                     # What is joined so far counts as links, so only components that a new link touches change.
                     before, joined = joined, components(joined.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(new))
                     delete_saved(before)
-            delete_saved(involved, pairs)
+            delete_saved(involved, ends, pairs)
             if first:
                 break  # what failed or is left goes on in all cells
             last = again
@@ -342,7 +349,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
                 delete_saved(again)
                 break
             turn += 1
-        delete_saved(dealt, *asked)
+        delete_saved(dealt, *asked, *([] if held is None else [held]))
     classes_of = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*print_of, F.coalesce("component_id", "rep").alias("component_id"))
     out = points.select("doc_id", *print_of).join(classes_of, print_of, "left")
     out = save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
