@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmend.llm import binary, html, jaccard, langid, neardup, packing, pieces, quality, topk, toxicity
+from rowmend.llm import binary, html, jaccard, langid, neardup, packing, pieces, quality, topk, toxicity, urlfilter
 from rowmend.llm.common import fold, shared_dir
 
 
@@ -103,7 +104,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold() == 1).alias("held_out"), "n_grams", "log_weight", "key", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_pieces, op4_packing, op5_jaccard, op6_binary, op7_langid, op8_html, op9_neardup, op10_quality)}
+#: The rules that every URL is judged by before the patterns.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = urlfilter.host_rules(spark, URL_RULES).unionByName(urlfilter.rules(spark, urlfilter.PATTERNS, tier=1))
+    out = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    rule = F.when(F.col("tier") == 0, F.expr("substring(pattern, 3)"))
+    return out.select("page_id", "host", "path", rule.alias("rule"), "verdict", F.when(F.col("tier") == 1, F.col("pattern")).alias("pattern"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_pieces, op4_packing, op5_jaccard, op6_binary, op7_langid, op8_html, op9_neardup, op10_quality, op11_urls)}
 
 _OP1 = """
 WITH v AS (
@@ -134,4 +146,25 @@ r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(least(doc_id, (SELECT min(c) FROM r WHERE r.id = n.doc_id)) AS BIGINT) AS component_id FROM n
 """
 
-ORACLE_SQL = {"op1_topk": _OP1, "op5_jaccard": _OP5}
+
+def _pattern_sql(pattern: str) -> str:
+    """The regular expression of a pattern, for SQL."""
+    body = re.escape(pattern.strip("|")).replace(r"\^", "(?:[^0-9A-Za-z_.%-]|\\z)").replace(r"\*", ".*").replace(r"\-", "-").replace(r"\#", "#")
+    return "(?s)" + (r"^//(?:[^/?#]*\.)?" if pattern.startswith("||") else "") + body + (r"\z" if pattern.endswith("|") else "")
+
+
+_PATTERNS = ", ".join(f"('{p}', '{v}', '{_pattern_sql(p)}')" for v, ps in urlfilter.PATTERNS.items() for p in ps)
+_OP11 = f"""
+WITH r AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{urlfilter.UPPER}', '{urlfilter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+a AS (SELECT DISTINCT url, '//' || host || regexp_extract(rest, '(?s)^[^/?#]*(.*)', 1) AS address FROM u WHERE strpos(url, '://') > 0),
+m AS (SELECT url, arg_min(v.pattern, (-length(v.pattern), v.verdict <> 'allow', v.pattern)) AS pattern, arg_min(v.verdict, (-length(v.pattern), v.verdict <> 'allow', v.pattern)) AS verdict
+  FROM a JOIN (VALUES {_PATTERNS}) v(pattern, verdict, regex) ON regexp_matches(address, regex) GROUP BY url),
+f AS (SELECT page_id, host, path, u.url, CASE WHEN host_is(host, 'example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN host_is(host, 'example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN host_is(host, 'org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN host_is(host, 'net') AND path LIKE '/%' THEN 'net/' END AS rule FROM u)
+SELECT page_id, host, path, rule, coalesce(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END, m.verdict, 'allow') AS verdict, CASE WHEN rule IS NULL THEN m.pattern END AS pattern
+FROM f LEFT JOIN m ON m.url = f.url
+"""
+_OP11 = re.sub(r"host_is\(host, '([a-z.]+)'\)", r"(host = '\1' OR host LIKE '%.\1')", _OP11)
+
+ORACLE_SQL = {"op1_topk": _OP1, "op5_jaccard": _OP5, "op11_urls": _OP11}
