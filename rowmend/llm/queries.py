@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmend.llm import binary, html, jaccard, langid, neardup, packing, pieces, quality, topk, toxicity, urlfilter
+from rowmend.llm import binary, html, jaccard, langid, neardup, packing, pieces, quality, ranked, spelling, topk, toxicity, urlfilter
 from rowmend.llm.common import fold, shared_dir
 
 
@@ -115,7 +115,16 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", rule.alias("rule"), "verdict", F.when(F.col("tier") == 1, F.col("pattern")).alias("pattern"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_pieces, op4_packing, op5_jaccard, op6_binary, op7_langid, op8_html, op9_neardup, op10_quality, op11_urls)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), every=97, longer=5).where("n >= 3")
+    return spelling.variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_toxicity, op3_pieces, op4_packing, op5_jaccard, op6_binary, op7_langid, op8_html, op9_neardup, op10_quality, op11_urls, op12_spelling, op13_ranked)}
 
 _OP1 = """
 WITH v AS (
@@ -167,4 +176,17 @@ FROM f LEFT JOIN m ON m.url = f.url
 """
 _OP11 = re.sub(r"host_is\(host, '([a-z.]+)'\)", r"(host = '\1' OR host LIKE '%.\1')", _OP11)
 
-ORACLE_SQL = {"op1_topk": _OP1, "op5_jaccard": _OP5, "op11_urls": _OP11}
+_TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '{_TERM_SQL}') AS w FROM documents),
+n AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM n),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '{_TERM_SQL}')) AS term FROM benchmark),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * max(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term),
+s AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // l))))) AS BIGINT) AS score
+  FROM i JOIN t USING (term) JOIN f USING (term) JOIN n USING (r), c GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN n USING (r) WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLE_SQL = {"op1_topk": _OP1, "op5_jaccard": _OP5, "op11_urls": _OP11, "op13_ranked": _OP13}
