@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,16 +44,29 @@ def check_keys(source: DataFrame, target: DataFrame, keys: tuple[str, ...]) -> N
 
 @dataclass(frozen=True)
 class Matched:
-    """Aligned sides: columns named as in the source, cast to their common types, filtered, plus row_hash."""
+    """Aligned sides: columns named as in the source, cast to their common types, filtered, plus row_hash.
+
+    `left` and `right` are the sides to be joined: with the columns that `marks` names, which hold the keys without nulls,
+    and with duplicate keys settled by the spec's policy on the exchange by these columns that the join then uses.
+    """
 
     source: DataFrame
     target: DataFrame
     keys: list[str]
     values: list[str]
     types: dict[str, T.DataType]
+    left: DataFrame
+    right: DataFrame
+
+    def marks(self) -> list[str]:
+        return [f"_{kind}{i}" for kind in ("key", "null") for i in range(len(self.keys))]
+
+    def thin(self) -> tuple[DataFrame, DataFrame]:
+        return tuple(df.select(*self.keys, "row_hash", *self.marks()) for df in (self.left, self.right))
 
-    def form(self, name: str, c: Column, spec: TableSpec) -> Column:
-        return normalize(c, self.types[name], {k.lower(): v for k, v in spec.tags.items()}.get(name.lower()))
+
+def form(name: str, kind: T.DataType, spec: TableSpec) -> Column:
+    return normalize(F.col(f"`{name}`"), kind, {k.lower(): v for k, v in spec.tags.items()}.get(name.lower()))
 
 
 def align(source: DataFrame, target: DataFrame, spec: TableSpec) -> Matched:
@@ -74,10 +87,13 @@ def align(source: DataFrame, target: DataFrame, spec: TableSpec) -> Matched:
             continue
         left.append(F.col(f"`{c}`").cast(types[c]).alias(c))
         right.append(F.col(f"`{other}`").cast(types[c]).alias(c))
-    made = Matched(source.select(*left), target.select(*right), keys, values, types)
-    hashed = digest(row_text([(c, made.form(c, F.col(f"`{c}`"), spec)) for c in values], spec.encoding), spec.algorithm).alias("row_hash")
-    sides = [unique(df.select("*", hashed), keys, spec.duplicates) for df in (made.source, made.target)]
-    return Matched(*sides, keys, values, types)
+    source, target = source.select(*left), target.select(*right)
+    hashed = digest(row_text([(c, form(c, types[c], spec)) for c in values], spec.encoding), spec.algorithm).alias("row_hash")
+    plain = [df.select("*", hashed) for df in (source, target)]
+    sides = [settled(marked(df, keys), keys, spec.duplicates) for df in plain]
+    if spec.duplicates in ("exclude", "first"):
+        plain = [df.select(*keys, *values, "row_hash") for df in sides]
+    return Matched(*plain, keys, values, types, *sides)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,17 +101,45 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def unique(df: DataFrame, keys: list[str], policy: str) -> DataFrame:
-    """Rows with one row a key, by policy; columns of `df` are the keys, values and row_hash."""
+def _no_null(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(c, F.lit(0).cast(kind))
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(c, F.lit(False))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(c, F.lit("1970-01-01").cast(kind))
+    if isinstance(kind, T.BinaryType):
+        return F.coalesce(c, F.lit("").cast(kind))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def marked(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` with each key twice more: without nulls, and whether it is null, so that null keys meet in a plain equi-join."""
+    columns = {f"_key{i}": _no_null(F.col(f"`{k}`"), df.schema[k].dataType) for i, k in enumerate(keys)}
+    return df.withColumns(columns | {f"_null{i}": F.col(f"`{k}`").isNull() for i, k in enumerate(keys)})
+
+
+def settled(df: DataFrame, keys: list[str], policy: str) -> DataFrame:
+    """`marked` rows with one row a key, by policy. Nothing runs here: a duplicate raises when the result is computed.
+
+    Rows are counted or grouped by the columns of `marked`, on the exchange that a join by them uses.
+    """
+    marks = [f"_{kind}{i}" for kind in ("key", "null") for i in range(len(keys))]
     if policy == "unique":
         return df
     if policy == "error":
-        twice = duplicate_keys(df, keys).limit(1).collect()
-        if twice:
-            raise DuplicateKeyError(f"key {twice[0].asDict()} is not unique")
-        return df
-    rest = [c for c in df.columns if c not in keys and c != "row_hash"]
+        counted = df.withColumn("_rows", F.count("*").over(Window.partitionBy(*marks)))
+        said = F.concat(F.lit("key "), F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys])), F.lit(" is not unique"))
+        return counted.where(F.when(F.col("_rows") > 1, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))).drop("_rows")
+    rest = [c for c in df.columns if c not in marks and c != "row_hash"]
     first = F.min(F.struct("row_hash", *[F.col(f"`{c}`") for c in rest])).alias("_first")
-    one = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(first, F.count("*").alias("_n"))
-    one = one.where("_n = 1") if policy == "exclude" else one
-    return one.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"_first.`{c}`").alias(c) for c in rest], F.col("_first.row_hash").alias("row_hash"))
+    one = df.groupBy(*marks).agg(first, F.count("*").alias("_rows"))
+    one = one.where("_rows = 1") if policy == "exclude" else one
+    return one.select(*[F.col(f"_first.`{c}`").alias(c) for c in [*rest, "row_hash"]], *marks)
+
+
+def require_unique(df: DataFrame, keys: list[str]) -> None:
+    """Looks for a duplicate key at once, in a job of its own."""
+    twice = duplicate_keys(df, keys).limit(1).collect()
+    if twice:
+        raise DuplicateKeyError(f"key {twice[0].asDict()} is not unique")

@@ -20,13 +20,17 @@ def data(side: str, columns: list[str], name: str) -> Column:
     return F.struct(*[F.col(f"{side}.`{c}`").alias(c) for c in columns]).alias(name)
 
 
+def same_marks(m: Matched) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"t.{c}") for c in m.marks()])
+
+
 def classify(m: Matched) -> DataFrame:
     """Every key once: op (INSERT, UPDATE, DELETE or MATCH), keys, digests and both rows."""
-    s = m.source.withColumn("in_source", F.lit(True)).alias("s")
-    t = m.target.withColumn("in_target", F.lit(True)).alias("t")
+    s = m.left.withColumn("in_source", F.lit(True)).alias("s")
+    t = m.right.withColumn("in_target", F.lit(True)).alias("t")
     there, here = F.col("t.in_target").isNotNull(), F.col("s.in_source").isNotNull()
     op = F.when(~there, "INSERT").when(~here, "DELETE").when(F.col("s.row_hash") != F.col("t.row_hash"), "UPDATE").otherwise("MATCH")
-    both = s.join(t, same_key(m.keys), "full_outer")
+    both = s.join(t, same_marks(m), "full_outer")
     everything = [*m.keys, *m.values]
     return both.select(
         op.alias("op"),
@@ -46,19 +50,19 @@ def diff(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
 def inserts(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows of source whose key target lacks."""
     m = align(source, target, spec)
-    return m.source.alias("s").join(m.target.select(*m.keys).alias("t"), same_key(m.keys), "left_anti")
+    return m.left.alias("s").join(m.right.select(*m.marks()).alias("t"), same_marks(m), "left_anti").drop(*m.marks())
 
 
 def deletes(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows of target whose key source lacks."""
     m = align(source, target, spec)
-    return m.target.alias("s").join(m.source.select(*m.keys).alias("t"), same_key(m.keys), "left_anti")
+    return m.right.alias("s").join(m.left.select(*m.marks()).alias("t"), same_marks(m), "left_anti").drop(*m.marks())
 
 
 def updates(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
     """Keys on both sides whose digests differ: keys, source_hash, target_hash, source_data, target_data."""
     m = align(source, target, spec)
-    both = m.source.alias("s").join(m.target.alias("t"), same_key(m.keys)).where("s.row_hash <> t.row_hash")
+    both = m.left.alias("s").join(m.right.alias("t"), same_marks(m)).where("s.row_hash <> t.row_hash")
     return both.select(*[F.col(f"s.`{k}`").alias(k) for k in m.keys], F.col("s.row_hash").alias("source_hash"), F.col("t.row_hash").alias("target_hash"), data("s", [*m.keys, *m.values], "source_data"), data("t", [*m.keys, *m.values], "target_data"))
 
 
@@ -68,7 +72,7 @@ def thin_diff(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFram
     The differing keys are computed once; few of them are broadcast, so that the wide sides aren't shuffled.
     """
     m = align(source, target, spec)
-    thin = Matched(m.source.select(*m.keys, "row_hash"), m.target.select(*m.keys, "row_hash"), m.keys, [], m.types)
+    thin = Matched(m.source, m.target, m.keys, [], m.types, *m.thin())
     found = once(classify(thin).where("op <> 'MATCH'").drop("source_data", "target_data"))
     touched, out = small(found.select(*m.keys)), found.alias("s")
     for side, df, name in (("x", m.source, "source_data"), ("y", m.target, "target_data")):

@@ -7,6 +7,7 @@ added under new keys (deletes); `current` is what becomes of it before verificat
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,13 @@ from pyspark.sql import types as T
 
 from rowmend.functions.literals import literal
 from rowmend.functions.normalize import base64_text, clob_text, date_string_text, decimal_text, flag_text, json_text
-from rowmend.operators import audit, checks, diff, paging, report, sqlgen, stats, verify
+from rowmend.operators import audit, checks, constraints, diff, paging, profile, report, sqlgen, stats, tree, verify
 from rowmend.operators.columns import align
+from rowmend.operators.merge import merge_changes
+from rowmend.operators.store import folder, once
 from rowmend.plans import run
+from rowmend.plans.resume import resumable_diff
+from rowmend.sources import events
 from rowmend.sources.io import read_query
 from rowmend.spec import TableSpec
 
@@ -230,10 +235,11 @@ add("duplicates_first", "SELECT count(*) AS source_row_count, CAST(0 AS BIGINT)
 add("composite_key_diff", "WITH t AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 13 = 5 THEN text || '!' ELSE text END AS text FROM conversations WHERE (conv_id + turn) % 17 <> 3) SELECT CASE WHEN t.conv_id IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS op, conv_id, turn FROM conversations s LEFT JOIN t USING (conv_id, turn) WHERE t.role IS NULL OR s.text <> t.text")(lambda s, d: diff.diff(c := load(s, d, "conversations"), c.where((F.col("conv_id") + F.col("turn")) % 17 != 3).withColumn("text", F.when(F.col("conv_id") % 13 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), TableSpec("conversations", ("conv_id", "turn"))).select("op", "conv_id", "turn"))
 add("array_diff", "SELECT vec_id FROM embeddings WHERE vec_id % 7 = 3 AND len(embedding) > 1")(lambda s, d: diff.updates(e := load(s, d, "embeddings"), e.withColumn("embedding", F.when(F.col("vec_id") % 7 == 3, F.slice("embedding", 1, 1)).otherwise(F.col("embedding"))), TableSpec("embeddings", ("vec_id",))).select("vec_id"))
 
-_ALTERED = "(VALUES ('c_custkey', 'integer', 'decimal', 'warning'), ('c_name', 'varchar', 'varchar', 'compatible'), ('c_nationkey', 'integer', 'varchar', 'error'), ('c_acctbal', 'float', 'float', 'compatible'), ('c_mktsegment', 'varchar', NULL, 'warning'), ('c_new', NULL, 'date', 'warning')) v(column_name, source_type, target_type, verdict)"
-add("schema_compatibility", f"SELECT * FROM {_ALTERED}")(lambda s, d: checks.schema_compatibility(c := load(s, d, "customer"), c.select(F.col("c_custkey").cast("decimal(20,0)").alias("C_CUSTKEY"), "c_name", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_acctbal", F.lit(None).cast("date").alias("c_new"))))
+_ALTERED = (("c_custkey", "integer", "decimal", "warning", "c_custkey", "c_custkey", "FALSE"), ("c_name", "varchar", "integer", "error", "c_name", "c_custkey", "TRY_CAST(c_name AS INTEGER) IS NULL"), ("c_nationkey", "integer", "varchar", "error", "c_nationkey", "c_nationkey", "FALSE"), ("c_acctbal", "float", "integer", "warning", "c_acctbal", "c_nationkey", "FALSE"), ("c_mktsegment", "varchar", None, "warning", "c_mktsegment", "NULL", "FALSE"), ("c_new", None, "date", "warning", "NULL", "NULL", "FALSE"))
+add("schema_compatibility", " UNION ALL ".join(f"SELECT '{n}' AS column_name, {repr(a) if a else 'NULL'} AS source_type, {repr(b) if b else 'NULL'} AS target_type, '{v}' AS verdict, count({x}) AS source_values, count({y}) AS target_values, count(*) FILTER ({x} IS NOT NULL AND {bad}) AS misfits FROM customer" for n, a, b, v, x, y, bad in _ALTERED))(lambda s, d: profile.compatibility(c := load(s, d, "customer"), c.select(F.col("c_custkey").cast("decimal(20,0)").alias("C_CUSTKEY"), F.col("c_custkey").alias("c_name"), F.col("c_nationkey").cast("string").alias("c_nationkey"), F.col("c_nationkey").alias("c_acctbal"), F.lit(None).cast("date").alias("c_new"))))
 add("cross_type_diff", "SELECT CAST(0 AS BIGINT) AS total_differences")(lambda s, d: stats.statistics(diff.classify(align(c := load(s, d, "customer"), c.select(F.col("c_custkey").cast("decimal(20,0)").alias("C_CUSTKEY"), F.col("c_mktsegment").alias("C_MKTSEGMENT"), "c_acctbal", F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_name"), spec("customer")))).select("total_differences"))
-add("table_metadata", "SELECT column_name, ordinal_position - 1 AS position FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name, unnest([1, 2, 3, 4, 5, 6]) AS ordinal_position)")(lambda s, d: checks.schema_table(load(s, d, "orders")).select("column_name", "position"))
+_of_table("table_metadata", ("orders", "customer"), lambda s, d, n: profile.table_profile(load(s, d, n), (TABLES[n][0],)).select("column_name", "position", F.coalesce("key_position", F.lit(-1)).alias("key_position"), "rows", "nulls", "lo", "hi"), lambda n: " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i} AS position, {0 if i == 0 else -1} AS key_position, count(*) AS rows, count(*) - count({c}) AS nulls, {_form_sql(f'min({c})', k)} AS lo, {_form_sql(f'max({c})', k)} AS hi FROM {n}" for i, (c, k) in enumerate({TABLES[n][0]: "i", **TABLES[n][1]}.items())))
+Q["table_metadata"], SQL["table_metadata"] = Q.pop("table_metadata_orders"), SQL.pop("table_metadata_orders")
 add("row_count_filtered", "SELECT count(*) AS row_count FROM orders WHERE o_totalprice > 100000")(lambda s, d: stats.row_count(load(s, d, "orders"), "o_totalprice > 100000"))
 add("json_normal_form", "SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events")(lambda s, d: load(s, d, "events").select("event_id", json_text(F.col("props")).alias("props")))
 add("json_compare", "SELECT CAST(0 AS BIGINT) AS n")(lambda s, d: diff.updates(e := load(s, d, "events").select("event_id", "props"), e.withColumn("props", F.regexp_replace("props", r"\s+", "  ")), TableSpec("events", ("event_id",), tags={"props": "json"})).agg(F.count("*").alias("n")))
@@ -293,3 +299,48 @@ add("audit_progress", "SELECT 's' || (user_id % 10) AS session_id, ts AS timesta
 add("audit_retained", f"{_E} SELECT session_id, event_type, message FROM e WHERE timestamp >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAY")(lambda s, d: audit.retained(audit_events(s, d), 10, "2024-01-20 00:00:00").select("session_id", "event_type", "message"))
 _VENDOR = {"VARCHAR2(30)": ("varchar", "character"), "Number(10, 2)": ("numeric", "numeric"), "TIMESTAMP(6) WITH TIME ZONE": ("timestamp_tz", "datetime"), "long raw": ("long_binary", "binary"), "INTERVAL DAY(2) TO SECOND(6)": ("interval_ds", "interval"), "XMLType": ("xml", "special"), "geometry": ("unknown", "unknown")}
 add("vendor_types", "SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_VENDOR.values())) + " END AS standard_type, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_VENDOR.values())) + " END AS category FROM part")(lambda s, d: checks.map_vendor_types(load(s, d, "part").select("p_partkey", F.coalesce(*[F.when(F.col("p_partkey") % 7 == i, v) for i, v in enumerate(_VENDOR)]).alias("data_type"))).select("p_partkey", "standard_type", "category"))
+
+# ---------------------------------------------------------------- limited, resumed and stored work
+
+
+def _resumed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A comparison that stops after some waves and is taken up again."""
+    a, b, path = *sides(spark, d, name), folder(spark)
+    resumable_diff(a, b, spec(name), path, rows=5000, size=2, most=1)
+    return resumable_diff(a, b, spec(name), path, rows=5000, size=2)
+
+
+def _merged(spark: SparkSession, d: str, name: str, partition: str) -> DataFrame:
+    """The drifted copy stored by `partition`, after its change set is merged into it."""
+    df, path = load(spark, d, name), folder(spark)
+    old = drifted(df, name)
+    old.write.partitionBy(partition).parquet(path)
+    merge_changes(spark, path, diff.diff(df, spark.read.parquet(path), spec(name)), [TABLES[name][0]], partition)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the store, by day, after its retention."""
+    path = folder(spark)
+    events.append_to_store(audit_events(spark, d), path)
+    events.retain(spark, path, 10, datetime(2024, 1, 20, 12))
+    return events.stored_events(spark, path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    """The audit rows that a run over all tables has written."""
+    path = folder(spark)
+    run.recorded_run(spark, [(spec(n), lambda n=n: load(spark, d, n), lambda n=n: drifted(load(spark, d, n), n)) for n in RUN], path, "run")
+    return events.stored_events(spark, f"{path}/events").select("event_type", "message")
+
+
+_diff_sql = lambda n: SQL[f"diff_changes_{n}"]
+_of_table("diff_by_tree", ("orders", "customer", "part"), lambda s, d, n: tree.tree_diff(*sides(s, d, n), spec(n), rows=500).select("op", TABLES[n][0], "source_hash", "target_hash"), _diff_sql)
+_of_table("diff_resumed", ("orders",), lambda s, d, n: _resumed(s, d, n).select("op", TABLES[n][0], "source_hash", "target_hash"), _diff_sql)
+_of_table("merge_changes", ("orders",), lambda s, d, n: _merged(s, d, n, TABLES[n][3]), lambda n: f"SELECT * FROM {n}")
+add("event_store", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' GROUP BY 1")(_stored)
+add("recorded_run", SQL["run_events"])(_recorded)
+_changed_keys = lambda n, ops: f"{_both_sql(n)} SELECT k FROM j WHERE op IN ({ops})"
+add("change_unique_violations", f"SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer WHERE (c_mktsegment, c_nationkey) IN (SELECT (c_mktsegment, c_nationkey) FROM customer WHERE c_custkey IN ({_changed_keys('customer', chr(39) + 'INSERT' + chr(39) + ', ' + chr(39) + 'UPDATE' + chr(39))})) GROUP BY ALL HAVING count(*) > 1")(lambda s, d: constraints.unique_violations(once(changes(s, d, "customer")), drifted(load(s, d, "customer"), "customer"), ["c_custkey"], ["c_mktsegment", "c_nationkey"]))
+add("change_orphans", f"WITH p AS ({_drift_sql('customer')}) SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN ({_changed_keys('orders', chr(39) + 'INSERT' + chr(39) + ', ' + chr(39) + 'UPDATE' + chr(39))}) AND o_custkey NOT IN (SELECT c_custkey FROM p)")(lambda s, d: constraints.parent_violations(once(changes(s, d, "orders")), c := load(s, d, "customer"), [("o_custkey", "c_custkey")], once(diff.diff(drifted(c, "customer"), c, spec("customer"))), ["c_custkey"]).select("o_orderkey", "o_custkey"))
+add("change_children", f"WITH p AS ({_drift_sql('customer')}) SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey NOT IN (SELECT c_custkey FROM p) GROUP BY 1")(lambda s, d: constraints.child_violations(once(diff.diff(drifted(c := load(s, d, "customer"), "customer"), c, spec("customer"))), c, ["c_custkey"], load(s, d, "orders"), [("o_custkey", "c_custkey")]))

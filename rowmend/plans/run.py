@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from rowmend.operators import report
 from rowmend.operators.columns import align
-from rowmend.operators.diff import classify
+from rowmend.operators.diff import classify, diff
 from rowmend.operators.sqlgen import statements
 from rowmend.operators.stats import run_summary, run_totals, statistics
 from rowmend.operators.store import once
 from rowmend.operators.verify import valid, verify
+from rowmend.sources.events import append_to_store
 from rowmend.sources.io import write_csv, write_json
 from rowmend.spec import TableSpec
 
@@ -65,7 +66,7 @@ def run_events(summaries: DataFrame, session_id: str) -> DataFrame:
 
 def reports(changes: dict[str, DataFrame], summaries: DataFrame, keys: dict[str, list[str]], run_id: str) -> dict[str, DataFrame]:
     """All reports of a run by name: summaries, run and totals, statement numbers, samples and changed columns of all tables."""
-    samples, values, columns = [], [], []
+    samples, values, columns, summaries = [], [], [], once(summaries)
     for name, df in changes.items():
         df, by, key = once(df), F.lit(name).alias("table_name"), F.to_json(F.struct(*keys[name])).alias("primary_key")
         samples.append(report.samples(df, keys[name]).select(by, key, "op", "sample", "source_hash", "target_hash"))
@@ -83,6 +84,21 @@ def reports(changes: dict[str, DataFrame], summaries: DataFrame, keys: dict[str,
     }
 
 
+def recorded_run(spark: SparkSession, tables: list[tuple[TableSpec, Callable[[], DataFrame], Callable[[], DataFrame]]], path: str, session_id: str, at_once: int = 4) -> DataFrame:
+    """Compare tables, append the run's own audit rows to the store at `path`/events, write its reports to `path`/reports.
+
+    Returns the summaries. Samples and changed columns come from the tables that could be compared.
+    """
+    summaries = once(compare_tables(spark, tables, at_once))
+    append_to_store(run_events(summaries, session_id), f"{path}/events")
+    good = {r["table_name"] for r in summaries.where("status = 'SUCCESS'").select("table_name").collect()}  # one row a table
+    compared = [(spec, source(), target()) for spec, source, target in tables if spec.name in good]
+    changes = {spec.name: diff(a, b, spec) for spec, a, b in compared}
+    if changes:
+        write_reports(reports(changes, summaries, {spec.name: list(spec.keys) for spec, _, _ in compared}, session_id), f"{path}/reports/{session_id}")
+    return summaries
+
+
 def write_reports(made: dict[str, DataFrame], path: str) -> None:
     """Each report in a folder of its own: the CSV summary as CSV, the others as JSON lines."""
     for name, df in made.items():

@@ -11,7 +11,7 @@ class TableSpec:
 
     encoding: `compat` joins `column:value` texts by `|`, with nulls as NULL; `safe` marks nulls and prefixes lengths, so
     no two different rows share a text. duplicates: what to do with keys that occur more than once on one side: `error`
-    raises (a look at both sides beforehand), `unique` trusts that there are none, `exclude` leaves all their rows out, `first` keeps the row with the smallest digest.
+    raises when the result is computed, `unique` trusts that there are none, `exclude` leaves all their rows out, `first` keeps the row with the smallest digest.
     """
 
     name: str

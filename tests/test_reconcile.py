@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowmend.operators import checks, diff, paging, report, sqlgen, stats, verify
-from rowmend.operators.columns import DuplicateKeyError, MissingKeyError, align
+from rowmend.operators.columns import DuplicateKeyError, MissingKeyError, align, require_unique
 from rowmend.plans import run
 from rowmend.sources import io
 from rowmend.spec import TableSpec
@@ -72,7 +72,11 @@ def test_duplicates(spark):
     s, t = frames(spark)
     twice = s.unionByName(s.where("k = 1").withColumn("a", F.lit("other")))
     with pytest.raises(DuplicateKeyError):
-        diff.diff(twice, t, SPEC)
+        require_unique(twice, ["k"])
+    with pytest.raises(Exception, match='key \\{"k":1\\} is not unique'):
+        diff.diff(twice, t, SPEC).collect()
+    with pytest.raises(Exception, match="is not unique"):
+        diff.inserts(t, s.unionByName(s.where("k is null")), SPEC).collect()
     assert ("INSERT", 1) not in ops(diff.diff(twice, t, TableSpec("t", ("k",), duplicates="exclude")))
     assert ops(diff.diff(twice, t, TableSpec("t", ("k",), duplicates="first"))).count(("INSERT", 1)) == 1
 
