@@ -286,7 +286,8 @@ def _dealt(words: DataFrame, single: dict[int, int], block: int) -> tuple[DataFr
     """words with their block, the blocks that each word has to search, and what was saved for them."""
     letters = [chr(p) for p in single]
     n_of = [F.length("word") - F.length(F.translate("word", c, "")) for c in letters]
-    todo, asks = words.withColumn("node", F.lit("")), words.select("word", "n", F.lit("").alias("node"), F.lit(0).alias("spent"))
+    root = F.substring("word", 1, 0).alias("node")  # not a constant, so that the joins by node stay equi-joins
+    todo, asks = words.select("word", "n", root), words.select("word", "n", root, F.lit(0).alias("spent"))
     level, homes, visits, used = 0, [], [], []
     while True:
         sizes = save(todo.groupBy("node").agg(F.count("*").alias("size")))
