@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +192,10 @@ class Matcher:
         for end, (n, w) in self.machine.iter(t):
             (barred if w is None else hits).append((end - n + 1, end, w))
         if barred:
-            hits = [h for h in hits if not any(b[0] <= h[0] and h[1] <= b[1] for b in barred)]
+            # A hit is barred if an exception begins no later and ends no earlier: the farthest end of those that begin so far.
+            barred.sort(key=lambda b: b[0])
+            starts, ends = [b[0] for b in barred], list(accumulate((b[1] for b in barred), max))
+            hits = [h for h in hits if not ((k := bisect_right(starts, h[0])) and ends[k - 1] >= h[1])]
         weight = sum(h[2] for h in hits)
         return math.log1p(weight), math.log1p(100 * weight / max(1, t.count(" ") - 1))
 
