@@ -35,11 +35,12 @@ from rowmend.llm.common import save, small, small_batches
 PROSE = set("p h1 h2 h3 blockquote pre".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math canvas object select xmp noembed noframes".split())
+TEXT_ONLY = set("script style textarea title xmp".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BARRED = set("nav aside footer form button menu dialog label fieldset head".split())
 CLOSES_P = BLOCK - set("html body".split())
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
-BAR_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent notice notices notification popup modal overlay newsletter subscribe signup login search comment comments respond replies disqus pagination pager skip copyright legal toolbar".split())
+BAR_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar rail aside widget related recommended share sharing social cookie cookies consent notice notices notification popup modal overlay newsletter subscribe signup login search comment comments discussion respond replies disqus pagination pager skip copyright legal toolbar".split())
 SALT = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -87,7 +88,7 @@ def blocks(html: str) -> list[tuple[Path, str, str, int]]:
     stack: list[tuple[str, Path, str, bool, Doubts | None]] = []  # (tag, path, innermost block tag, barred, elements that words may bar)
     doubtful, spared, wraps, plain = 0, set(), set(), False
     now: Block | None = None
-    at, raw_until = 0, None
+    at, unclosed = 0, set()  # tags that don't end any more
     opened: Counter[str] = Counter()  # elements of each tag on the stack
 
     def text(s: str) -> None:
@@ -111,8 +112,6 @@ def blocks(html: str) -> list[tuple[Path, str, str, int]]:
         if m.start() < at:
             continue
         token = m[0]
-        if raw_until is not None:
-            continue
         text(unescape(html[at : m.start()]))
         at = m.end()
         if token[1] in "!?":
@@ -147,8 +146,12 @@ def blocks(html: str) -> list[tuple[Path, str, str, int]]:
             while stack and stack[-1][0] in shut:
                 opened[stack.pop()[0]] -= 1
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else (len(html) if tag in ("script", "style", "textarea", "title", "xmp") else at)
+            if token.endswith("/>") and tag not in TEXT_ONLY:
+                continue
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if tag not in unclosed else None
+            if end is None:
+                unclosed.add(tag)
+            at = end.end() if end else (len(html) if tag in TEXT_ONLY else at)
             continue
         if tag in VOID or token.endswith("/>") and tag not in BLOCK:
             continue
@@ -235,7 +238,10 @@ def _article(path: Path) -> bool:
 
 
 def _lifted(found: list, key: Path) -> Path:
-    """The nearest article or main around `key`, or else the lowest container around all prose without many links."""
+    """The nearest article or main around `key`, or else the lowest container around all prose without many links.
+
+    That isn't the whole body where `key` holds at least half of this prose: what else the body holds is something else.
+    """
     prose = [path for path, tag, text, linked in found if tag in PROSE and 2 * linked < len(text)]
     whole: Path | None = key
     while whole and whole.depth and not _article(whole):
@@ -250,6 +256,10 @@ def _lifted(found: list, key: Path) -> Path:
     lowest = key
     while lowest.depth and below.get(lowest, 0) < len(prose):
         lowest = lowest.up
+    if lowest.depth and lowest.step.split(".")[0] in ("body", "html"):
+        sizes = [len(text) for _, tag, text, linked in found if tag in PROSE and 2 * linked < len(text)]
+        held = sum(n for n, inside in zip(sizes, _under(prose, {key.hash}), strict=True) if inside)
+        return key if 2 * held >= sum(sizes) else lowest
     return lowest if lowest.depth else key
 
 
