@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import components, group_starts, save, whole_groups
+from rowmend.llm.common import components, delete_saved, group_starts, save, whole_groups
 
 K, CELL, TREES, BLOCK, AUDIT = 8, 128, 4, 512, 200
 LINKED, AUDIT_MOST = 100, 20_000
@@ -161,7 +161,9 @@ def _refined(lists: DataFrame, points: DataFrame, member: DataFrame, threshold:
 def _members(edges: DataFrame) -> DataFrame:
     """(id, component_id) of all ends of `edges` (u, v)."""
     joined = save(components(edges))
-    return save(joined.unionByName(joined.select(F.col("component_id").alias("id"), "component_id").distinct()))
+    out = save(joined.unionByName(joined.select(F.col("component_id").alias("id"), "component_id").distinct()))
+    delete_saved(joined)
+    return out
 
 
 def _grew(edges: DataFrame, member: DataFrame) -> bool:
@@ -275,19 +277,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return out.withColumn("kept", F.lit(True))
     found, turn = save(_first_lists(points, 0, threshold)), 0
-    edges = _linked(found, threshold)
-    member = _members(edges)
+    member = _members(_linked(found, threshold))
     lists = save(_shortest(found, member))
+    delete_saved(found)
     while True:
-        fresh = []
+        fresh, met = [], []
         for _ in range(turns):
-            found = save(_refined(lists, points, member, threshold))
+            met.append(found := save(_refined(lists, points, member, threshold)))
             fresh.append(_linked(found, threshold))
-            lists = save(_shortest(lists.drop("outside").unionByName(found), member))
+            before, lists = lists, save(_shortest(lists.drop("outside").unionByName(found), member))
+            delete_saved(before)
         fresh = save(reduce(DataFrame.unionByName, fresh).distinct())
+        delete_saved(*met)
         grew = _grew(fresh, member)
-        edges = member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(fresh)
-        member = _members(edges)
+        before, member = member, _members(member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(fresh))
+        delete_saved(fresh, before)
         turn += 1
         found_share, linked = audit(points, member, threshold)
         enough = found_share >= recall
@@ -295,18 +299,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         if enough and not grew:
             break
         if not enough and turn >= most:
-            member = _members(_exact(points, threshold))
+            before, member = member, _members(_exact(points, threshold))
+            delete_saved(before)
             report.update(exact=True)
             break
-        pairs = lists.drop("outside")
+        pairs, read = lists.drop("outside"), [lists]
         if not enough:
             found = save(_first_lists(points, turn, threshold))
-            member = _members(member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(_linked(found, threshold)))
-            pairs = pairs.unionByName(found)
+            before, member = member, _members(member.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(_linked(found, threshold)))
+            delete_saved(before)
+            pairs, read = pairs.unionByName(found), [lists, found]
         lists = save(_shortest(pairs, member))
+        delete_saved(*read)
+    delete_saved(lists)
     links = save(_counted(points, member, threshold))
     copies = rows.where("sound").join(points.select("label", "x", "id", "copies"), ["label", "x"], "left").select("vec_id", "id", "copies")
     alone = rows.where(~F.col("sound")).select("vec_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("copies"))
     out = copies.unionByName(alone).join(member, "id", "left").join(links, "id", "left")
     out = out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("component_id", "id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = save(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
+    delete_saved(points, member, links)
+    return out
