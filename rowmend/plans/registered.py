@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmend.functions.literals import literal
-from rowmend.functions.normalize import base64_text, clob_text, date_string_text, decimal_text, flag_text, json_text
+from rowmend.functions.normalize import base64_text, clob_text, date_string_text, decimal_text, flag_text, json_text, normalize
 from rowmend.operators import audit, checks, constraints, diff, paging, profile, report, sqlgen, stats, tree, verify
 from rowmend.operators.columns import align
 from rowmend.operators.merge import merge_changes
 from rowmend.operators.store import folder, once
 from rowmend.plans import run
 from rowmend.plans.resume import resumable_diff
-from rowmend.sources import events
+from rowmend.sources import events, io
 from rowmend.sources.io import read_query
 from rowmend.spec import TableSpec
 
@@ -344,3 +344,47 @@ _changed_keys = lambda n, ops: f"{_both_sql(n)} SELECT k FROM j WHERE op IN ({op
 add("change_unique_violations", f"SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer WHERE (c_mktsegment, c_nationkey) IN (SELECT (c_mktsegment, c_nationkey) FROM customer WHERE c_custkey IN ({_changed_keys('customer', chr(39) + 'INSERT' + chr(39) + ', ' + chr(39) + 'UPDATE' + chr(39))})) GROUP BY ALL HAVING count(*) > 1")(lambda s, d: constraints.unique_violations(once(changes(s, d, "customer")), drifted(load(s, d, "customer"), "customer"), ["c_custkey"], ["c_mktsegment", "c_nationkey"]))
 add("change_orphans", f"WITH p AS ({_drift_sql('customer')}) SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN ({_changed_keys('orders', chr(39) + 'INSERT' + chr(39) + ', ' + chr(39) + 'UPDATE' + chr(39))}) AND o_custkey NOT IN (SELECT c_custkey FROM p)")(lambda s, d: constraints.parent_violations(once(changes(s, d, "orders")), c := load(s, d, "customer"), [("o_custkey", "c_custkey")], once(diff.diff(drifted(c, "customer"), c, spec("customer"))), ["c_custkey"]).select("o_orderkey", "o_custkey"))
 add("change_children", f"WITH p AS ({_drift_sql('customer')}) SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey NOT IN (SELECT c_custkey FROM p) GROUP BY 1")(lambda s, d: constraints.child_violations(once(diff.diff(drifted(c := load(s, d, "customer"), "customer"), c, spec("customer"))), c, ["c_custkey"], load(s, d, "orders"), [("o_custkey", "c_custkey")]))
+
+# ---------------------------------------------------------------- written and read again, dictionary views, intervals
+
+
+def _events_file(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark)
+    io.append_events(audit_events(spark, d).where("event_type = 'ERROR'"), path)
+    io.append_events(audit_events(spark, d).where("event_type <> 'ERROR'"), path)
+    return io.read_events(spark, path).select("session_id", "event_type", "timestamp", "message")
+
+
+def _script_files(spark: SparkSession, d: str, name: str) -> DataFrame:
+    path = folder(spark)
+    io.write_scripts(sqlgen.statements(changes(spark, d, name), spec(name)), path, [TABLES[name][0]])
+    return spark.read.schema("value string, table_name string, side string").text(path).select("table_name", "side", F.col("value").alias("statement"))
+
+
+def _summary_file(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark)
+    io.write_csv(report.csv_summary(_summaries(spark, d)), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("Table Name").alias("table_name"), F.col("Status").alias("status"), F.col("Total Differences").cast("long").alias("total_differences"), F.col("Match Percentage").cast("double").alias("match_percentage"))
+
+
+def _summary_json(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark)
+    io.write_json(report.json_report(_summaries(spark, d), "r1"), path)
+    back = spark.read.schema("run_id string, table_name string, result struct<total_differences: long, match_percentage: double>").json(path)
+    return back.select("run_id", "table_name", "result.*")
+
+
+def _key_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary views as large as the tables: a constraint an order, its columns the order's lines."""
+    constraints_ = load(spark, d, "orders").select(F.lit("MAIN").alias("owner"), F.col("o_orderkey").alias("constraint_name"), F.when(F.col("o_orderstatus") == "F", "P").otherwise("R").alias("constraint_type"))
+    columns = load(spark, d, "lineitem").select(F.lit("MAIN").alias("owner"), F.col("l_orderkey").alias("constraint_name"), F.concat(F.lit("T"), F.col("l_orderkey")).alias("table_name"), F.concat(F.lit("C"), F.col("l_partkey")).alias("column_name"), F.col("l_linenumber").alias("position"))
+    return io.primary_keys(constraints_, columns)
+
+
+add("events_file", f"{_E} SELECT session_id, event_type, timestamp, message FROM e")(_events_file)
+_of_table("script_files", ("supplier",), _script_files, lambda n: f"SELECT table_name, side, statement FROM ({_sync_sql(n, 'target')})")
+add("summary_file", f"SELECT table_name, 'SUCCESS' AS status, total_differences, match_percentage FROM ({_SUMMARY_SQL})")(_summary_file)
+add("summary_json", f"SELECT 'r1' AS run_id, table_name, total_differences, match_percentage FROM ({_SUMMARY_SQL})")(_summary_json)
+add("key_columns", "SELECT 'MAIN' AS owner, 'T' || l_orderkey AS table_name, 'C' || l_partkey AS column_name, l_linenumber AS position FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")(_key_columns)
+add("interval_normal_form", "SELECT o_orderkey, 'INTERVAL ''' || (o_orderkey % 40) || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00:' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0') || ''' DAY TO SECOND' AS ds, 'INTERVAL ''' || (o_orderkey % 9) || '-' || (o_custkey % 12) || ''' YEAR TO MONTH' AS ym FROM orders")(lambda s, d: load(s, d, "orders").select("o_orderkey", F.make_dt_interval(F.col("o_orderkey") % 40, F.col("o_orderkey") % 24, F.lit(0), (F.col("o_custkey") % 60).cast("decimal(18,6)")).alias("ds"), F.make_ym_interval(F.col("o_orderkey") % 9, F.col("o_custkey") % 12).alias("ym")).select("o_orderkey", normalize(F.col("ds"), T.DayTimeIntervalType()).alias("ds"), normalize(F.col("ym"), T.YearMonthIntervalType()).alias("ym")))

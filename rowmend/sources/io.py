@@ -62,7 +62,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    write_json(events, path, "append")
+    """Add events as JSON lines, with microseconds (Spark's own format would cut them)."""
+    events.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +76,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def apply_to_database(statements: DataFrame, connect: Callable[[], Any], batch: int = 1000) -> None:
     """Run statements through a DB-API connection of each task, in transactions of at most `batch` statements.
 
-    A statement that fails rolls its batch back and stops the job; batches before it stay. Not atomic over partitions:
-    load a staging table and merge once where that is needed.
+    A statement that fails rolls its batch back and stops the job; batches before it stay, and a retried task runs them
+    again: `database.apply_once` keeps a ledger and doesn't.
     """
 
     def run(rows: Iterator[Row]) -> None:
