@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from rowmend.operators.store import kept
 
 
+#: Most ranges of a list, whatever the table's size: what is broadcast (`with_range`) or listed on the driver is bounded by it.
+MOST = 32_768
+
+
 @dataclass(frozen=True)
 class KeyRanges:
     keys: list[str]
@@ -28,8 +32,11 @@ class KeyRanges:
 
 
 def key_ranges(df: DataFrame, keys: list[str], rows: int = 100_000, path: str | None = None) -> KeyRanges:
-    """Ranges of about `rows` rows each; exact counts. Only the keys are shuffled, once; the list is saved (at `path`)."""
-    n = max(1, ceil(df.count() / rows))
+    """Ranges of about `rows` rows each, or of more where that makes more than `MOST`; exact counts.
+
+    Only the keys are shuffled, once; the list is saved (at `path`).
+    """
+    n = min(MOST, max(1, ceil(df.count() / rows)))
     key = F.struct(*[F.col(f"`{k}`") for k in keys])
     parts = df.select(*[F.col(f"`{k}`") for k in keys]).repartitionByRange(n, *[F.col(f"`{k}`") for k in keys])
     found = parts.groupBy(F.spark_partition_id()).agg(F.min(key).alias("lo"), F.count("*").alias("rows")).select("lo", "rows")
