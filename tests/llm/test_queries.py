@@ -37,6 +37,8 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(i, *v, 1) for i, v in enumerate(VECTORS * 2)], "vec_id long, embedding array<double>, label int, rank int").write.parquet(f"{folder}/embeddings.parquet")
     pages = [(i, f"http://h.example/{i}", f"<article><h1>T{i}</h1><p>Text of page {i}.</p></article>") for i in range(9)] + [(3, None, None), (3, "x", ""), (None, "http://h.example/1", "<p>a"), (3, "x", "")]
     spark.createDataFrame([(*p, "t") for p in pages], "page_id long, url string, html string, text string").write.parquet(f"{folder}/pages.parquet")
+    items = [(1, EN, 1), (1, "w5", 1), (2, None, 1), (None, DE, 1), (3, rows[7][1], 1), (4, "", 1)]
+    spark.createDataFrame(items, "item_id int, text string, rank int").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder), rows
 
 
@@ -55,7 +57,7 @@ def pieces_hold(got, rows, end_id):
         assert at <= 2048
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op1_topk", "op9_neardup", "op8_html")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op1_topk", "op9_neardup", "op8_html", "op11_urls", "op12_spelling", "op13_ranked")])
 def test_documents(spark, tables, name):
     folder, rows = tables
     got = QUERIES[name](spark, folder).collect()
@@ -98,6 +100,28 @@ def test_pages(spark, tables):
     assert got == sorted((i, t, len(t)) for i, t in want)
 
 
+def test_urls(spark, tables):
+    got = sorted((r.page_id or -1, r.host, r.path, r.rule, r.verdict) for r in QUERIES["op11_urls"](spark, tables[0]).collect())
+    want = [(i or -1, "h.example", f"/{i}", None, "allow") for i in range(9)] + [(-1, "h.example", "/1", None, "allow")] + [(3, "", "", None, "allow")] * 3
+    assert got == sorted(want)
+
+
+def test_words(spark, tables):
+    from test_spelling import counted, plain
+
+    folder, rows = tables
+    got = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in QUERIES["op12_spelling"](spark, folder).collect()}
+    assert got == plain({w: n for w, n in counted([r[:2] for r in rows]).items() if len(w) >= 5 and n >= 3})
+
+
+def test_ranks(spark, tables):
+    from test_ranked import plain, result
+
+    folder, rows = tables
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert result(QUERIES["op13_ranked"](spark, folder)) == plain([r[:2] for r in rows], items, 50)
+
+
 def test_pipeline(spark, tables):
     folder, rows = tables
     docs, names = spark.read.parquet(f"{folder}/documents.parquet"), [n for n, _ in corpus_pipeline.STAGES]
@@ -117,7 +141,7 @@ def test_pipeline(spark, tables):
 
 
 def test_empty_tables(spark, tables, tmp_path):
-    for name in ("documents", "labels", "embeddings", "pages"):
+    for name in ("documents", "labels", "embeddings", "pages", "benchmark"):
         spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in QUERIES.items():
         assert query(spark, str(tmp_path)).isEmpty(), name
