@@ -18,7 +18,7 @@ left out. Inside a cell only a spanning forest of the surviving pairs between co
 a pair fails or pairs are left, its cell goes round again until every surviving pair is either checked or inside a
 component of checked links, so no link between components is lost. From the second turn on, a pair that shares several
 cells belongs to the first of them. Cells beyond `CHUNK` points are dealt as pairs of
-chunks.
+chunks, in the first round as pairs with the first chunk.
 
 Inputs: null text, empty text and text without words have an empty set and link with nothing. Repeated doc_ids with
 equal text merge like copies. Other columns are ignored.
@@ -42,6 +42,8 @@ FIRST = 3
 CHUNK = 2000
 LEAF = 16
 CUT = 2
+#: Cells of more than two sets that are broadcast to look their members up (16 bytes each); more are joined by a shuffle.
+LOOKED_UP = 1_000_000
 
 
 def bucket_ranks(texts: DataFrame, words: int) -> np.ndarray:
@@ -267,7 +269,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame:
-    """(cell, i, j, id, n, point) of the sets `points` in cells that hold sets of two components or more; of cells with the same members, one."""
+    """(cell, i, j, id, n, point) of the sets `points` in cells that hold sets of two components or more; of cells with the same members, one.
+
+    Of a cell's first few shingles (`first`), chunks meet the first chunk alone: rows in proportion to the members, as what
+    this joins of a large group needn't be compared any more when all cells, with all pairs of chunks, come.
+    """
     cells = F.slice("cells", 1, first) if first else F.col("cells")
     known = points.select("doc_id", cells.alias("cells")).join(small(joined), F.col("doc_id") == F.col("id"), "left")
     in_cells = known.select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), F.explode("cells").alias("cell"))
@@ -277,9 +283,11 @@ def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame
     # Most shared cells have two members, which the aggregate names; only larger ones are looked up.
     twos = shared.where("size = 2").select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode(F.array("least", "most")).alias("id"))
     larger = shared.where("size > 2").select("cell", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    member = in_cells.drop("component").join(small(larger), "cell").select("cell", "chunks", F.col("doc_id").alias("id"))
+    member = in_cells.drop("component").join(small(larger, LOOKED_UP), "cell").select("cell", "chunks", F.col("doc_id").alias("id"))
     mine = F.pmod(F.xxhash64("cell", "id"), F.col("chunks")).cast("int")
-    dealt = member.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    partners = F.when(F.col("mine") > 0, F.array(F.lit(0))).otherwise(every) if first else every
+    dealt = member.withColumn("mine", mine).withColumn("with", F.explode(partners))
     dealt = dealt.select("cell", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id").unionByName(twos)
     out = save(dealt.join(points.select(F.col("doc_id").alias("id"), "n", "point"), "id"))
     delete_saved(shared)
