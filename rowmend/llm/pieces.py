@@ -7,8 +7,8 @@ starts anew from there. Only where they don't meet the window is doubled, so mem
 
 Many streams run side by side, one in each lane of an array. All paths also meet where no piece holds the characters on
 both sides, that is before a run of space marks (unless the vocabulary has a piece that goes on after such a run; then a
-text is one stretch). Such stretches recur, so each worker looks them up among those it has committed and keeps, and
-streams the others.
+text is one stretch and one stream). What lies between recurs: each worker keeps the ids of such stretches once its streams
+have committed them, looks them up, and streams all others of a slice, in the order of the text.
 
 Text is encoded as is: a space in front, spaces as the space mark; characters without a piece, and literal space marks,
 as byte pieces, each byte at a cost below every piece. Decoding gives back the very text. The piece scores come from
@@ -35,6 +35,7 @@ MARK = "▁"
 LITERAL = "\udfff"  # stands for a mark of the text itself; no text holds it, and it takes three bytes as the mark does
 CODES = 0x110000
 CELLS = 1 << 17  # positions in the windows of one array
+LANE = 4096  # characters of a stream
 
 
 class Vocabulary:
@@ -50,6 +51,7 @@ class Vocabulary:
         self.longest = max(map(len, self.scores), default=1)
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.scores)
         self.windows = 0  # arrays of windows so far
+        self.met, self.ended = 0, 0  # windows committed where all paths met, and at the end of their stream
         self.kept = Kept(keep)
         self._trie({self.pieces[i]: i for i in plain})
         held = [bytes([b]) if (b := {i: b for b, i in self.bytes.items()}.get(i)) is not None else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
@@ -128,6 +130,7 @@ class Vocabulary:
             goal = sizes.copy()
             for i in np.flatnonzero(~done).tolist():
                 goal[i] = meeting(back[: sizes[i] + 1, i], longest)
+            self.met, self.ended = self.met + int(((goal > 0) & ~done).sum()), self.ended + int(done.sum())
             window[now] = np.where(goal > 0, base, 2 * window[now])
             lane, e = np.arange(lanes), goal
             while len(lane := lane[e > 0]):
@@ -140,19 +143,28 @@ class Vocabulary:
             on = at < stop
             at, stop, window = at[on], stop[on], window[on]
 
-    def viterbi(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of non-empty marked stretches one after another, and how many each has."""
+    def viterbi(self, stretches: list[str], joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of non-empty marked stretches one after another, and how many each has.
+
+        `joined`: the stretches begin with marks and no piece goes on into the next one, so many make one stream of about
+        LANE characters; one that ends with a mark, which a piece could add to the next one's, ends its stream.
+        """
         chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         stop = np.cumsum(sizes)
         took = np.zeros(len(chars), np.int32)
-        order = np.argsort(-sizes, kind="stable")
-        width = np.minimum(sizes[order], 4 * self.longest)
+        last = stop
+        if joined and len(stretches):
+            number = (stop - sizes) // LANE + np.cumsum(chars[stop - 1] == ord(MARK)) - (chars[stop - 1] == ord(MARK))
+            last = stop[np.append(np.flatnonzero(np.diff(number)), len(stop) - 1)]
+        start = np.concatenate([[0], last[:-1]])
+        order = np.argsort(start - last, kind="stable")
+        width = np.minimum(last - start, 4 * self.longest)[order]
         lo = 0
         while lo < len(order):
             hi = lo + max(1, CELLS // int(width[lo]))
             part = order[lo:hi]
-            self._stream(chars, stop[part] - sizes[part], stop[part], took)
+            self._stream(chars, start[part], last[part], took)
             lo = hi
         at = np.flatnonzero(took)
         each = np.ones(len(at), np.int64)
@@ -168,7 +180,7 @@ class Vocabulary:
         return ids, np.diff(ends, prepend=0)
 
     def _learn(self, stretches: list[str]) -> None:
-        self.kept.hold(stretches, *self.viterbi([s.replace(MARK, LITERAL).replace(" ", MARK) for s in stretches]))
+        self.kept.hold(stretches, *self.viterbi([s.replace(MARK, LITERAL).replace(" ", MARK) for s in stretches], not self.crosses))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """uint32 ids of each text; a null is an empty text."""
