@@ -109,6 +109,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _placed(code: np.ndarray) -> np.ndarray:
+    return mix64(mix64(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0xD1B54A32D192ED03))
+
+
+_PLACED = _placed(np.arange(64 * 256))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (maximal runs without ASCII white space) of all rows, and per row the index of its first."""
     rows = len(offsets) - 1
@@ -127,8 +134,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         return np.zeros(0, np.uint64), first
     spans = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], spans)
-    powers = np.cumprod(np.full(int(spans.max()), 0x9E3779B97F4A7C15, np.uint64))
-    value = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * powers[place]
+    # Each byte at its place has a hash of its own; a word's is mixed from their sum.
+    code = place * 256 + data[starts[0] :]
+    value = _PLACED[np.minimum(code, len(_PLACED) - 1)]
+    far = np.flatnonzero(code >= len(_PLACED))
+    value[far] = _placed(code[far])
     value[~solid[starts[0] :]] = 0
     return mix64(np.add.reduceat(value, starts - starts[0])), first
 
