@@ -5,7 +5,8 @@ window it fills best, and when none has room the fullest is topped up with the d
 still open at the end (at most `windows` windows a task) is merged: the leftovers of 16 partitions are packed together.
 
 Inputs: null text is an empty text, which has the end id alone; a document longer than a sequence is cut; a null doc_id
-is kept. Every id of every document lies in exactly one piece. An empty table gives an empty result.
+is kept. Rows with one doc_id are packed as documents of their own, each with its own starts and tokens. Every id of every
+document lies in exactly one piece. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
-"""The registered queries of the operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them.
+
+`held_out` is null where doc_id is: such a row belongs to no third, is never learnt from, and gets its result like any other.
+"""
 
 from __future__ import annotations
 
