@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage's re
 cluster's shared folder and reread as the next one's documents. All stages but the last return the columns of
 `documents`; the last returns packed pieces. Null or empty texts are rejected by language ID (no letter). Labels are
 only read to fit models, never to decide on a row.
+
+Rows without a doc_id go through all stages and stay unless their text is rejected; of repeated rows (one doc_id and text)
+one stays from the Jaccard stage on. Extra columns stay up to packing. Empty tables give empty results.
 """
 
 from __future__ import annotations
