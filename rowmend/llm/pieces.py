@@ -35,7 +35,7 @@ MARK = "▁"
 LITERAL = "\udfff"  # stands for a mark of the text itself; no text holds it, and it takes three bytes as the mark does
 CODES = 0x110000
 CELLS = 1 << 17  # positions in the windows of one array
-LANE = 4096  # characters of a stream
+LANE = 1536  # characters of a stream
 
 
 class Vocabulary:
@@ -128,8 +128,7 @@ class Vocabulary:
                 best[e - 1 + longest, :m] = value[k, np.arange(m)]
             done = end == stop[now]
             goal = sizes.copy()
-            for i in np.flatnonzero(~done).tolist():
-                goal[i] = meeting(back[: sizes[i] + 1, i], longest)
+            goal[~done] = meetings(back, sizes, np.flatnonzero(~done), longest)
             self.met, self.ended = self.met + int(((goal > 0) & ~done).sum()), self.ended + int(done.sum())
             window[now] = np.where(goal > 0, base, 2 * window[now])
             lane, e = np.arange(lanes), goal
@@ -211,15 +210,18 @@ class Vocabulary:
         return [text[lo:hi].tobytes().decode("utf-8", "replace")[1:] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def meeting(back: np.ndarray, longest: int) -> int:
-    """The last boundary on the paths back from all positions that a later piece can start from; 0 if they don't meet."""
-    last = len(back) - 1
-    at = set(range(max(1, last - longest + 1), last + 1))
-    while len(at) > 1:
-        far = max(at)
-        at.remove(far)
-        at.add(far - int(back[far]))
-    return at.pop()
+def meetings(back: np.ndarray, last: np.ndarray, lanes: np.ndarray, longest: int) -> np.ndarray:
+    """For some lanes of back pointers [position, lane]: the last boundary on the paths back from all positions that a later
+    piece can start from, which are the `longest` ones up to `last`; 0 if they don't meet."""
+    at = last[lanes, None] - np.arange(longest)
+    at = np.where(at > 0, at, last[lanes, None])
+    apart = np.arange(len(lanes))
+    while len(apart):
+        far = at[apart].max(1)
+        apart, far = apart[split := at[apart].min(1) < far], far[split]
+        now = at[apart]
+        at[apart] = np.where(now == far[:, None], (far - back[far, lanes[apart]])[:, None], now)
+    return at[:, 0]
 
 
 _made: dict[str, Vocabulary] = {}
