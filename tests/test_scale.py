@@ -3,9 +3,10 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rowmend.operators import diff, report, verify
+from rowmend.operators import diff, ranges, report, verify
 from rowmend.spec import TableSpec
 
 
@@ -25,3 +26,36 @@ def test_changed_columns_tell_zeros_apart_where_the_digest_does(spark):
     assert [r[:] for r in report.changed_columns(found, ["k"], signed_zero=True).collect()] == [(1, "x", "0", "-0")]
     assert verify.verify(found, source, ["k"], signed_zero=True).first().verification_reason == verify.CHANGED
     assert diff.diff(source, target, TableSpec("t", ("k",))).isEmpty()
+
+
+def tasks(spark, build):
+    """Tasks of the jobs that run while `build` is called, and its result."""
+    spark.sparkContext.setJobGroup("tasks", "")
+    status = spark.sparkContext.statusTracker()
+    before = set(status.getJobIdsForGroup("tasks"))
+    out = build()
+    stages = {i for j in set(status.getJobIdsForGroup("tasks")) - before for i in status.getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("other", "")
+    return sum(s.numTasks for i in stages if (s := status.getStageInfo(i))), out
+
+
+def test_tasks_do_not_grow_with_the_number_of_ranges(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id % 2500 as k", "cast(id % 3 as string) as s")
+    ran, made = tasks(spark, lambda: ranges.key_ranges(df, ["k", "s"], 10))
+    assert ran < 100 and 500 <= made.table.count() <= 600
+    monkeypatch.setattr(ranges, "TASK_ROWS", 1000)
+    many = ranges.key_ranges(df, ["k", "s"], 10)
+    for listed in (made.rows(), many.rows()):
+        assert [r["before"] for r in listed] == [sum(x["rows"] for x in listed[:i]) for i in range(len(listed))]
+    assert {r["range_no"]: r["count"] for r in ranges.with_range(df, many).groupBy("range_no").count().collect()} == {r["range_no"]: r["rows"] for r in many.rows()}
+    monkeypatch.setattr(ranges, "MOST", 40)
+    assert ranges.key_ranges(df, ["k"], 10).table.count() <= 40
+
+
+def test_one_frequent_key_is_one_range(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 500)
+    df = spark.range(3000).selectExpr("case when id % 2 = 0 then 700 else id end as k")
+    listed = ranges.key_ranges(df, ["k"], 100).rows()
+    assert sum(r["rows"] for r in listed) == 3000 and len({r["lo"] for r in listed}) == len(listed)
+    for i, r in enumerate(listed):
+        assert df.where(ranges.between([F.col("k")], *ranges.span(listed, i, i))).count() == r["rows"]
