@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rowmend.operators import diff, ranges, report, verify
+from rowmend.plans import resume
 from rowmend.spec import TableSpec
 
 
@@ -59,3 +60,28 @@ def test_one_frequent_key_is_one_range(spark, monkeypatch):
     assert sum(r["rows"] for r in listed) == 3000 and len({r["lo"] for r in listed}) == len(listed)
     for i, r in enumerate(listed):
         assert df.where(ranges.between([F.col("k")], *ranges.span(listed, i, i))).count() == r["rows"]
+
+
+def test_many_waves_share_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resume, "ROUNDS", 3)
+    source = spark.range(2000).selectExpr("id as k", "id * 0.5 as x")
+    target = source.where("k % 40 <> 3").withColumn("x", F.when(F.col("k") == 1999, -1.0).otherwise(F.col("x")))
+    spec, path, calls, real = TableSpec("t", ("k",)), str(tmp_path / "run"), [], resume.diff
+
+    def stops(a, b, spec):
+        calls.append(a.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(a, b, spec)
+
+    monkeypatch.setattr(resume, "diff", stops)
+    assert resume.resumable_diff(source, target, spec, path, rows=50, size=1, most=1).count() == 2  # wave 0 and the columns
+    with pytest.raises(RuntimeError, match="lost"):
+        resume.resumable_diff(source, target, spec, path, rows=50, size=1)
+    made = ranges.load_ranges(spark, f"{path}/ranges")
+    assert calls[0] == 50 and sorted(resume.unfinished_waves(made, path, 1)) == list(range(1, 40))
+    got = resume.resumable_diff(source, target, spec, path, rows=50, size=1)
+    assert got.exceptAll(real(source, target, spec)).isEmpty() and got.count() == 51 and len(calls) == 7  # three rounds, the columns
+    rows = {r.wave: (r.inserts, r.updates, r.deletes) for r in resume.ledger(spark, path).collect()}
+    assert sorted(rows) == list(range(40)) and rows[39][1] == 1 and sum(r[0] for r in rows.values()) == 50
+    assert rows[0] == (2, 0, 0) and resume.unfinished_waves(made, path, 1) == {}
