@@ -4,9 +4,13 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
+from rowmend.functions.normalize import normalize
 from rowmend.operators import diff, ranges, report, verify
+from rowmend.operators.columns import align
+from rowmend.operators.stats import statistics
 from rowmend.plans import resume
 from rowmend.spec import TableSpec
 
@@ -85,3 +89,20 @@ def test_many_waves_share_rounds(spark, tmp_path, monkeypatch):
     rows = {r.wave: (r.inserts, r.updates, r.deletes) for r in resume.ledger(spark, path).collect()}
     assert sorted(rows) == list(range(40)) and rows[39][1] == 1 and sum(r[0] for r in rows.values()) == 50
     assert rows[0] == (2, 0, 0) and resume.unfinished_waves(made, path, 1) == {}
+
+
+def test_short_floats_have_the_text_of_the_long_way(spark):
+    values = [x * s for x in (0.0, 0.05, 0.001, 0.002, 0.00099, 1.0, 10.0, 100.5, 33.33, 1 / 3, 0.1 + 0.2, 9_999_999.0, 9_999_999.5, 1e7, 1e-9, 123456.789012345678, 1e22) for s in (1, -1)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(normalize(F.col("x"), T.DoubleType(), None, True).alias("y"))
+    assert [r.y for r in got.collect()] == [f"{x:.15g}" for x in values]
+
+
+@pytest.mark.parametrize("policy", ["first", "exclude"])
+def test_counts_over_settled_duplicates_leave_the_rows_behind(spark, policy):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "c", 3.0), (None, "d", 4.0)], "k long, wide string, x double")
+    spec = TableSpec("t", ("k",), duplicates=policy)
+    counted = statistics(diff.classify(align(df, df, spec)))
+    assert counted.first().source_row_count == (3 if policy == "first" else 2) and counted.first().total_differences == 0
+    assert "min(struct(" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    whole = {r.k: (r.wide, r.x) for r in align(df, df, spec).source.collect()}
+    assert (whole.pop(1, None) in ((("a", 1.0), ("b", 2.0)) if policy == "first" else (None,))) and whole == {2: ("c", 3.0), None: ("d", 4.0)}
