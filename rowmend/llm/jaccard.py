@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import Forest, components, delete_saved, group_starts, save, shingle_sets, small, small_batches, whole_groups
+from rowmend.llm.common import Forest, components, delete_saved, group_starts, lean, save, shingle_sets, small, small_batches, whole_groups
 
 GROUPS = 256
 BUCKETS = 18  # bits
@@ -57,7 +57,7 @@ def bucket_ranks(texts: DataFrame, words: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 1 << BUCKETS rows
+    counts = texts.select("text").mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 1 << BUCKETS rows
     total = np.zeros(1 << BUCKETS, np.int64)
     total[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     ranks = np.empty(1 << BUCKETS, np.uint32)
@@ -94,7 +94,7 @@ def set_points(texts: DataFrame, words: int, ranks: np.ndarray, num: int, den: i
                 names=["doc_id", "n", "f1", "f2", "cells", "point"],
             )
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     keys, cut_off = ["cell", "i", "j"], CUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys):
+        for table in whole_groups(batches, keys, 5_000):
             col = {c: table.column(c).to_numpy() for c in ("cell", "i", "j", "kind", "id", "n", "component", "other")}
             is_point = col["kind"] == 0
             points = np.zeros((table.num_rows, GROUPS), np.int32)
@@ -240,7 +240,7 @@ def _candidates(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
             )
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "kind")
-    return dealt.mapInArrow(run, "cell long, i int, j int, a long, b long")
+    return dealt.mapInArrow(lean(run), "cell long, i int, j int, a long, b long")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, ok boolean")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             items = [s.tobytes() for _, s in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["doc_id", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(lean(run), "doc_id long, items binary")
 
 
 def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import group_starts, save, small_batches, whole_groups
+from rowmend.llm.common import group_starts, lean, save, small_batches, whole_groups
 from rowmend.llm.tokens import tokenizer
 
 PIECE = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
                 yield _batch(packer.done + list(packer.open.values()), (1 << 62) + (int(part.column("team")[0].as_py()) << 33))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = save(small_batches(texts).mapInArrow(first_round, PIECE))
+    packed = save(small_batches(texts).mapInArrow(lean(first_round), PIECE))
     left = packed.where("sequence_id is null").withColumn("team", F.floor(F.col("offset") / merge))
-    merged = left.repartition("team").sortWithinPartitions("team").mapInArrow(second_round, PIECE)
+    merged = left.repartition("team").sortWithinPartitions("team").mapInArrow(lean(second_round), PIECE)
     return packed.where("sequence_id is not null").unionByName(merged)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import save, small_batches, text_slices
+from rowmend.llm.common import lean, save, small_batches, text_slices
 
 SIZES, BUCKETS = (4, 8), 1 << 16
 LENGTH = 400
@@ -62,7 +62,7 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["bucket", "n"])
 
     out = np.zeros(2 * BUCKETS)
-    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
+    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return out
 
@@ -98,7 +98,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, names: tuple[str, str]) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
     full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{full}, `{names[0]}` long, `{names[1]}` double")
+    return docs.mapInArrow(lean(run), f"{full}, `{names[0]}` long, `{names[1]}` double")
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> float | None:
