@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import Forest, components, delete_saved, group_starts, lean, save, shingle_sets, small, small_batches, whole_groups
+from rowmend.llm.common import BATCH_BYTES, Forest, components, delete_saved, group_starts, lean, save, shingle_sets, small, small_batches, whole_groups
 
 GROUPS = 256
 BUCKETS = 18  # bits
 FIRST = 3
 CHUNK = 2000
 LEAF = 16
+PAIRS = 2048
 CUT = 2
 #: Cells of more than two sets that are broadcast to look their members up (16 bytes each); more are joined by a shuffle.
 LOOKED_UP = 1_000_000
@@ -118,9 +119,11 @@ class Tree:
         """Pairs (i <= j) of bottom blocks whose bound doesn't exclude a link, found from the root down."""
         pairs = np.zeros((1, 2), np.int64)
         for hi, small, large in reversed(self.levels[1:]):
+            # By size first; the boxes of what is left are compared some at a time, as each pair takes 3 KiB.
             a, b = pairs.T
-            keep = may_link(hi[a], hi[b], small[a], small[b], num, den) & (large[a] * den >= small[b] * num) & (large[b] * den >= small[a] * num)
-            pairs = pairs[keep | (a == b)]
+            pairs = pairs[(large[a] * den >= small[b] * num) & (large[b] * den >= small[a] * num) | (a == b)]
+            keep = [may_link(hi[a], hi[b], small[a], small[b], num, den) | (a == b) for a, b in (pairs[k : k + PAIRS].T for k in range(0, len(pairs), PAIRS))]
+            pairs = pairs[np.concatenate(keep)]
             if hi is self.levels[1][0]:
                 break
             below = len(self.levels[self._level(hi) - 1][0])
@@ -300,7 +303,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     Links: Jaccard of the sets of `words`-word shingles at least num/den. component_id: smallest doc_id reachable.
     Rows whose doc_id is null stay alone, with a null component. An empty table gives an empty result.
     """
-    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size=BATCH_BYTES)
     points = save(set_points(texts, words, bucket_ranks(texts, words), num, den))
     print_of = ["n", "f1", "f2"]
     classes = save(points.where("n > 0 and doc_id is not null").groupBy(*print_of).agg(F.min("doc_id").alias("rep")))

@@ -20,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import group_starts, lean, save, small_batches, whole_groups
+from rowmend.llm.common import BATCH_BYTES, group_starts, lean, save, small_batches, whole_groups
 from rowmend.llm.tokens import tokenizer
 
+#: Words whose ids a worker keeps: fewer than the tokenizer's own number, as the worker may hold memory of other stages.
+WORDS = 200_000
 PIECE = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -83,7 +85,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, task, emitted = Packer(size, windows), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(tokenizer_path).encode(batch.column(1), end_id), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(tokenizer_path, WORDS).encode(batch.column(1), end_id), strict=True):
                 packer.add(doc_id, ids)
                 if len(packer.done) >= 256:
                     yield _batch(packer.done, (task << 33) + emitted)
@@ -105,7 +107,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
                 yield _batch(packer.done + list(packer.open.values()), (1 << 62) + (int(part.column("team")[0].as_py()) << 33))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = save(small_batches(texts).mapInArrow(lean(first_round), PIECE))
+    packed = save(small_batches(texts, size=BATCH_BYTES).mapInArrow(lean(first_round, keeps=True), PIECE))
     left = packed.where("sequence_id is null").withColumn("team", F.floor(F.col("offset") / merge))
     merged = left.repartition("team").sortWithinPartitions("team").mapInArrow(lean(second_round), PIECE)
     return packed.where("sequence_id is not null").unionByName(merged)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import lean, save, small_batches, text_slices
+from rowmend.llm.common import BATCH_BYTES, lean, save, small_batches, text_slices
 
 SIZES, BUCKETS = (4, 8), 1 << 16
 LENGTH = 400
@@ -126,7 +126,7 @@ def resample(docs: DataFrame, target: DataFrame, slack: float = 30.0, seed: int
     Columns of `docs` that clash with `names` give way. The texts are read three times and never shuffled: for the raw
     model, for the keys, and for the result, which draws the same keys again.
     """
-    docs = small_batches(docs).drop(*[c for c in docs.columns if c.lower() in names])
+    docs = small_batches(docs, size=BATCH_BYTES).drop(*[c for c in docs.columns if c.lower() in names])
     n_grams, weight, key, selected = names
     ratio = log_ratio(gram_counts(target), gram_counts(docs))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(2**40)).cast("double") + 0.5) / 2**40

@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from rowmend.llm.common import text_slices
+from rowmend.llm.common import give_back, keep_models, text_slices
 
 #: Bytes of text whose distinct words are looked up together; a longer text is taken alone and whole.
-SLICE = 1 << 22
+SLICE = 1 << 20
+#: Characters that the library encodes at once (its results take some 50 times that); a longer word is taken alone.
+LOT = 1 << 16
 #: Words of one pre-token each, whatever stands beside them.
 _LETTERS = re.compile("[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -24,7 +27,7 @@ _SIGN[list(b".,;:!?")] = True
 
 
 class Kept:
-    """Ids of words, side by side in one array, for at most `keep` words (and 16 ids a word) at a time."""
+    """Ids of words, side by side in one array, for about `keep` words (and 16 ids a word) at a time: then the half used most stays."""
 
     def __init__(self, keep: int):
         self.keep = keep
@@ -34,29 +37,47 @@ class Kept:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int32)  # of the ids of word number i, at i + 1
+        self.uses = np.zeros(1 << 16, np.uint32)  # of word number i, halved whenever words go
 
     def hold(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, used = len(self.number), int(self.ends[len(self.number)])
         if used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
         if n + len(words) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(words), np.int32)])
+            more = len(self.ends) + len(words)
+            self.ends = np.concatenate([self.ends, np.zeros(more, np.int32)])
+            self.uses = np.concatenate([self.uses, np.zeros(more, np.uint32)])
         self.ids[used : used + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
         self.number.update(zip(words, range(n, n + len(words)), strict=True))
 
+    def _thin(self) -> None:
+        """Forget all but the most used words, as many as `keep` / 2 with at most 8 ids each on average."""
+        n, ids, ends, uses, words = len(self.number), self.ids, self.ends, self.uses, list(self.number)
+        sizes = np.diff(ends[: n + 1])
+        best = np.argsort(uses[:n], kind="stable")[::-1][: self.keep // 2]
+        best = np.sort(best[np.cumsum(sizes[best], dtype=np.int64) <= 8 * self.keep])
+        self._clear()
+        if len(best):
+            sizes = sizes[best]
+            places = np.repeat(ends[best] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            self.hold([words[i] for i in best.tolist()], ids[places], sizes)
+            self.uses[: len(best)] = uses[best] >> 1
+
     def ids_of(self, words: pa.DictionaryArray, learn: Callable[[list[str]], None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and where each word's ids end. `learn` holds the words it is given."""
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.number) > self.keep or self.ends[len(self.number)] > 16 * self.keep:
-            self._clear()
+            self._thin()
         known = self.number.get
         number = np.fromiter((known(w, -1) for w in distinct), np.int32, len(distinct))
         if len(new := np.flatnonzero(number < 0)):
             missing = [distinct[i] for i in new.tolist()]
             learn(missing)
             number[new] = np.fromiter(map(self.number.__getitem__, missing), np.int32, len(new))
-        codes = number[words.indices.to_numpy()]
+        at = words.indices.to_numpy()
+        self.uses[number] += np.bincount(at, minlength=len(distinct)).astype(np.uint32)
+        codes = number[at]
         # Words come from slices below 2 GiB, and no id takes less than a byte, so 32 bits hold all places.
         starts = self.ends[codes]
         sizes = self.ends[codes + 1] - starts
@@ -102,7 +123,9 @@ class WordTokenizer:
             self.kept.hold(single, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for k in range(0, len(texts), 5000) for e in self.library.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+        lot = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // LOT
+        cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(texts)] if texts else []
+        return [np.array(e.ids, np.uint32) for lo, hi in pairwise(cuts) for e in self.library.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """uint32 ids of each text with `end_id` after them; a null is an empty text."""
@@ -146,11 +169,13 @@ def widen(held, n: int) -> np.ndarray:
     return np.frombuffer(held, "<u2" if len(held) == 2 * n else "<u4")
 
 
-_made: dict[str, WordTokenizer] = {}
+_made: dict[tuple[str, int], WordTokenizer] = {}
+keep_models(_made.clear)
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for each file and worker process."""
-    if path not in _made:
-        _made[path] = WordTokenizer(path)
-    return _made[path]
+def tokenizer(path: str, keep: int = 500_000) -> WordTokenizer:
+    """One tokenizer for each file and worker process, until a task of another kind drops it."""
+    if (path, keep) not in _made:
+        _made[path, keep] = WordTokenizer(path, keep)
+        give_back()  # of what reading the file took
+    return _made[path, keep]
