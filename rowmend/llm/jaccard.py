@@ -15,9 +15,9 @@ whole sets.
 Equal sets are merged before anything else, so copies cost one point. First every set is in the cells of its first
 `FIRST` shingles alone, which joins most components; then in all of its cells, of which those inside one component are
 left out. Inside a cell only a spanning forest of the surviving pairs between components goes to the exact check; where
-a pair fails or pairs are left, its cell goes round again until every surviving pair is either checked or inside a
-component of checked links, so no link between components is lost. From the second turn on, a pair that shares several
-cells belongs to the first of them. Cells beyond `CHUNK` points are dealt as pairs of
+one of them fails, its cell goes round again with all of its pairs, and further where these are too many for one turn,
+until every surviving pair is either checked or inside a component of checked links, so no link between components is
+lost. From the second turn on, a pair that shares several cells belongs to the first of them. Cells beyond `CHUNK` points are dealt as pairs of
 chunks, in the first round as pairs with the first chunk.
 
 Inputs: null text, empty text and text without words have an empty set and link with nothing. Repeated doc_ids with
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmend.llm.common import BATCH_BYTES, Forest, components, delete_saved, group_starts, lean, save, shingle_sets, small, small_batches, whole_groups
+from rowmend.llm.common import BATCH_BYTES, Forest, delete_saved, fitting, group_starts, joined_on, lean, save, shingle_sets, small, small_batches, whole_groups
 
 GROUPS = 256
 BUCKETS = 18  # bits
@@ -45,6 +45,8 @@ PAIRS = 2048
 CUT = 2
 #: Cells of more than two sets that are broadcast to look their members up (16 bytes each); more are joined by a shuffle.
 LOOKED_UP = 1_000_000
+#: Points, texts and pairs of sets that a task takes where their number is known (see `fitting`).
+POINTS_EACH, TEXTS_EACH, PAIRS_EACH = 10_000, 5_000, 1_000
 
 
 def bucket_ranks(texts: DataFrame, words: int) -> np.ndarray:
@@ -259,7 +261,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, ok boolean")
+    met = small(pairs).join(a, "a").join(b, "b").select("a", "b", "x", "y")
+    return fitting(met, pairs.count() + sets.count() * PAIRS_EACH // POINTS_EACH, PAIRS_EACH).mapInArrow(lean(run), "a long, b long, ok boolean")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -282,7 +285,8 @@ def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame
     in_cells = known.select("doc_id", F.coalesce("component_id", "doc_id").alias("component"), F.explode("cells").alias("cell"))
     marks = [F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
     shared = in_cells.groupBy("cell").agg(*marks).where("low < high").groupBy("size", "least", "most", "mark").agg(F.min("cell").alias("cell"))
-    shared = save(shared.select("cell", "size", "least", "most"))
+    members = points.agg(F.coalesce(F.sum(F.size(cells)), F.lit(0))).first()[0]
+    shared = save(fitting(shared.select("cell", "size", "least", "most"), members))
     # Most shared cells have two members, which the aggregate names; only larger ones are looked up.
     twos = shared.where("size = 2").select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode(F.array("least", "most")).alias("id"))
     larger = shared.where("size > 2").select("cell", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
@@ -292,7 +296,8 @@ def _dealt(points: DataFrame, joined: DataFrame, first: int | None) -> DataFrame
     partners = F.when(F.col("mine") > 0, F.array(F.lit(0))).otherwise(every) if first else every
     dealt = member.withColumn("mine", mine).withColumn("with", F.explode(partners))
     dealt = dealt.select("cell", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id").unionByName(twos)
-    out = save(dealt.join(points.select(F.col("doc_id").alias("id"), "n", "point"), "id"))
+    rows = shared.agg(F.coalesce(F.sum(F.col("size") * (F.lit(2) if first else F.ceil(F.col("size") / CHUNK))), F.lit(0))).first()[0]
+    out = save(fitting(dealt.join(points.select(F.col("doc_id").alias("id"), "n", "point"), "id"), points.count() + rows, POINTS_EACH))
     delete_saved(shared)
     return out
 
@@ -306,8 +311,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size=BATCH_BYTES)
     points = save(set_points(texts, words, bucket_ranks(texts, words), num, den))
     print_of = ["n", "f1", "f2"]
-    classes = save(points.where("n > 0 and doc_id is not null").groupBy(*print_of).agg(F.min("doc_id").alias("rep")))
-    reps = save(points.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = points.count()
+    classes = save(fitting(points.where("n > 0 and doc_id is not null").groupBy(*print_of).agg(F.min("doc_id").alias("rep")), rows))
+    reps = points.where("n > 0").join(small(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    reps = save(fitting(reps.dropDuplicates(["doc_id"]), rows, POINTS_EACH))
 
     spark = docs.sparkSession
     joined = spark.createDataFrame([], "id long, component_id long")
@@ -330,31 +337,35 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             answers = save(_candidates(now, turn, num, den))
             found, more = answers.where("a is not null"), answers.where("a is null").select("cell", "i", "j")
             asked.append(found)
+            known, asked_now = sum(df.count() for df in checked), answers.count()
             pairs = found.select("a", "b").distinct()
             if checked:
                 pairs = pairs.join(reduce(DataFrame.unionByName, checked).select("a", "b"), ["a", "b"], "left_anti")
-            pairs = save(pairs)
-            ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-            involved = ends
+            pairs = save(fitting(pairs, asked_now + known))
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("known", F.lit(None).cast("boolean"))
             if sets:
-                involved = involved.join(reduce(DataFrame.unionByName, sets).select("doc_id"), "doc_id", "left_anti")
-            involved = save(involved)
-            if not involved.isEmpty():
-                sets.append(save(_sets(texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)))
+                ends = ends.drop("known").join(reduce(DataFrame.unionByName, sets).select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+            ends = save(fitting(ends, 2 * (asked_now + known)))
+            involved = ends.where("known is null").select("doc_id")
+            if asking := involved.count():
+                asking_texts = texts.join(small(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+                sets.append(save(_sets(fitting(asking_texts, asking, TEXTS_EACH), words)))
             if not pairs.isEmpty():
-                compared = reduce(DataFrame.unionByName, sets).join(small(ends), "doc_id", "left_semi")
+                compared = reduce(DataFrame.unionByName, sets).join(small(ends.select("doc_id")), "doc_id", "left_semi")
                 checked.append(save(_checked(pairs, compared, num, den)))
                 new = checked[-1].where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
                 if not new.isEmpty():
-                    # What is joined so far counts as links, so only components that a new link touches change.
-                    before, joined = joined, components(joined.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(new))
+                    before, joined = joined, joined_on(joined, new)
                     delete_saved(before)
-            delete_saved(involved, ends, pairs)
+            delete_saved(ends, pairs)
             if first:
                 break  # what failed or is left goes on in all cells
             last = again
-            again = found.join(reduce(DataFrame.unionByName, checked).where("not ok"), ["a", "b"], "left_semi").select("cell", "i", "j") if checked else found.select("cell", "i", "j").limit(0)
-            again = save(again.unionByName(more).distinct())
+            # After the first turn a cell has asked for all of its pairs unless it says that there are more.
+            if not turn and checked:
+                failing = found.join(reduce(DataFrame.unionByName, checked).where("not ok"), ["a", "b"], "left_semi")
+                more = more.unionByName(failing.select("cell", "i", "j"))
+            again = save(fitting(more.distinct(), asked_now + known))
             delete_saved(*([] if last is None else [last]))
             if again.isEmpty():
                 delete_saved(again)
@@ -363,6 +374,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         delete_saved(dealt, *asked, *([] if held is None else [held]))
     classes_of = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*print_of, F.coalesce("component_id", "rep").alias("component_id"))
     out = points.select("doc_id", *print_of).join(classes_of, print_of, "left")
-    out = save(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    out = save(fitting(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), 2 * rows))
     delete_saved(points, classes, reps, joined, *sets, *checked)
     return out
